@@ -24,13 +24,31 @@ def value_bucket(value: Column, center: Column, spread: Column) -> Column:
     return F.floor(F.greatest(F.least(scaled, F.lit(float(bound))), F.lit(float(-bound)))).cast("int")
 
 
-def _scale(df: DataFrame, value: str) -> tuple[Column, Column]:
-    """Median and inter-quartile range as two scalar subqueries (a sketch)."""
-    q = df.agg(F.percentile_approx(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(200)).alias("q"))
-    center = q.select(F.col("q")[1].cast("double")).scalar()
-    width = F.col("q")[2] - F.col("q")[0]
-    spread = q.select(F.when(width > 0, width).otherwise(F.lit(1.0)).cast("double")).scalar()
-    return center, spread
+def _scales(df: DataFrame, measures: dict[str, Column]) -> Column:
+    """Median and inter-quartile range of each measure, from one sketch pass.
+
+    One scalar subquery holding a struct ``{measure}.c`` / ``{measure}.s``: a
+    few numbers whatever the data size, computed once for the whole plan.
+    """
+    quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    wide = df.agg(
+        *[F.percentile_approx(c.cast("double"), quartiles, F.lit(200)).alias(n) for n, c in measures.items()]
+    )
+    parts = []
+    for n in measures:
+        width = F.col(n)[2] - F.col(n)[0]
+        spread = F.when(width > 0, width).otherwise(F.lit(1.0))
+        parts.append(F.struct(F.col(n)[1].alias("c"), spread.alias("s")).alias(n))
+    return wide.select(F.struct(*parts)).scalar()
+
+
+def _present(columns: list[str]) -> Column:
+    """All columns non-null: stated before the aggregate, so that both sides of
+    the join below it have the same plan and share one exchange."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull()
+    return out
 
 
 def bucket_offsets(counts: DataFrame, keys: list[str], bucket: str = _B, count: str = _C) -> DataFrame:
@@ -61,10 +79,11 @@ def running_counts(
 
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Distinct values with their frequency and bucket; a hot value is one row."""
-    center, spread = _scale(df, value)
+    scale = _scales(df, {"v": F.col(value)})
     return (
-        df.where(F.col(value).isNotNull())
-        .withColumn(_B, value_bucket(F.col(value).cast("double"), center, spread))
+        df.withColumn("__s", scale)
+        .withColumn(_B, value_bucket(F.col(value).cast("double"), F.col("__s.v.c"), F.col("__s.v.s")))
+        .where(_present([*keys, _B, value]))
         .groupBy(*keys, _B, value)
         .agg(F.count(F.lit(1)).alias(_C))
     )
@@ -84,30 +103,21 @@ def exact_quantiles(
 
     Output columns are ``{prob name}_{measure name}``; keys must not be null.
     """
-    long = df.select(
-        *keys,
-        F.explode(
-            F.array(*[F.struct(F.lit(n).alias("m"), c.cast("double").alias("v")) for n, c in measures.items()])
-        ).alias("__mv"),
-    ).select(*keys, F.col("__mv.m").alias("__m"), F.col("__mv.v").alias("__v"))
-    long = long.where(F.col("__v").isNotNull())
-    # One sketch per measure (not per key): a few numbers whatever the data size.
-    wide = df.agg(
-        *[
-            F.percentile_approx(c.cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(200)).alias(n)
-            for n, c in measures.items()
-        ]
+    scaled = df.withColumn("__s", _scales(df, measures))
+    entries = [
+        F.struct(
+            F.lit(n).alias("m"),
+            c.cast("double").alias("v"),
+            value_bucket(c.cast("double"), F.col(f"__s.{n}.c"), F.col(f"__s.{n}.s")).alias("b"),
+        )
+        for n, c in measures.items()
+    ]
+    long = scaled.select(*keys, F.explode(F.array(*entries)).alias("__e")).select(
+        *keys, F.col("__e.m").alias("__m"), F.col("__e.v").alias("__v"), F.col("__e.b").alias(_B)
     )
-    center, spread = F.lit(None), F.lit(None)
-    for n in measures:
-        width = F.col(n)[2] - F.col(n)[0]
-        c = wide.select(F.col(n)[1]).scalar()
-        s = wide.select(F.when(width > 0, width).otherwise(F.lit(1.0))).scalar()
-        center = F.when(F.col("__m") == n, c).otherwise(center)
-        spread = F.when(F.col("__m") == n, s).otherwise(spread)
     gk = keys + ["__m"]
     counts = (
-        long.withColumn(_B, value_bucket(F.col("__v"), center, spread))
+        long.where(_present([*gk, _B, "__v"]))
         .groupBy(*gk, _B, "__v")
         .agg(F.count(F.lit(1)).alias(_C))
     )
