@@ -59,7 +59,7 @@ def row_averages(df: DataFrame, c: AuditColumns = DEFAULT, base: list[str] | Non
     picked = F.min_by(F.struct(*kept), F.col(c.model)).alias("__base")
     out = df.groupBy(c.row_id).agg(
         picked,
-        F.countDistinct(c.model).alias("n_models"),
+        F.size(F.collect_set(c.model)).cast("bigint").alias("n_models"),
         F.avg(est).alias("mean_predicted_salary_usd"),
         F.median(est).alias("median_predicted_salary_usd"),
         F.avg(DIFF_USD).alias(MEAN_USD),
