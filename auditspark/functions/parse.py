@@ -31,25 +31,43 @@ RANGES = (
 )
 
 
+def _bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``.
+
+    Column arithmetic is substituted, not stored: without the binding, every
+    regular expression below would carry its own copy of the answer expression.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_answer(raw: Column, low: int = LOW, high: int = HIGH) -> Column:
     """Struct (value double, status string) of one raw answer.
 
     A full match is tested first: it excludes every reject rule, and it is the
     usual case, so most rows cost one regular expression.
     """
-    text = F.coalesce(strip(raw), F.lit(""))
-    number = F.regexp_replace(F.regexp_extract(text, "(?U)" + ONE_NUMBER, 0), r"(?U)[$,\s]", "").try_cast("double")
-    is_range = text.rlike("(?iuU)" + "|".join(RANGES))
-    n_numbers = F.regexp_count(text, F.lit("(?U)" + ONE_NUMBER))
-    plausible = F.coalesce(number.between(float(low), float(high)), F.lit(False))
-    status = (
-        F.when(text.rlike("(?U)" + WHOLE_ANSWER), F.when(plausible, "ok").otherwise("out_of_plausible_range"))
-        .when(text == "", "empty")
-        .when(is_range | (n_numbers > 1), "multiple_numbers_or_range")
-        .when(n_numbers == 0, "no_number")
-        .otherwise("malformed")
+
+    def number(text: Column) -> Column:
+        token = F.regexp_extract(text, "(?U)" + ONE_NUMBER, 0)
+        return F.regexp_replace(token, r"(?U)[$,\s]", "").try_cast("double")
+
+    def status(text: Column) -> Column:
+        plausible = F.coalesce(number(text).between(float(low), float(high)), F.lit(False))
+        n_numbers = F.regexp_count(text, F.lit("(?U)" + ONE_NUMBER))
+        return (
+            F.when(text.rlike("(?U)" + WHOLE_ANSWER), F.when(plausible, "ok").otherwise("out_of_plausible_range"))
+            .when(text == "", "empty")
+            .when(text.rlike("(?iuU)" + "|".join(RANGES)) | (n_numbers > 1), "multiple_numbers_or_range")
+            .when(n_numbers == 0, "no_number")
+            .otherwise("malformed")
+        )
+
+    return _bind(
+        F.coalesce(strip(raw), F.lit("")),
+        lambda text: _bind(
+            status(text), lambda s: F.struct(F.when(s == "ok", number(text)).alias("value"), s.alias("status"))
+        ),
     )
-    return F.struct(F.when(status == "ok", number).alias("value"), status.alias("status"))
 
 
 def parse_digits(raw: Column) -> Column:

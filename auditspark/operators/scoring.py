@@ -149,8 +149,9 @@ def retry_unreasonable(
 
 
 def simple_tokens(text: Column) -> Column:
-    """Default tokens: runs of word characters, and single other characters."""
-    return F.regexp_extract_all(text, F.lit(r"(?U)(\w+|[^\w\s])"), 1)
+    """Default tokens: runs of letters and digits, and single other characters."""
+    word = r"\p{L}\p{M}\p{N}_"
+    return F.regexp_extract_all(text, F.lit(rf"([{word}]+|[^\s{word}])"), 1)
 
 
 def token_ids(df: DataFrame, text: str, encoder_factory: Callable[[], Callable[[list[str]], list[list[int]]]]) -> DataFrame:

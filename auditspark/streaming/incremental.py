@@ -6,7 +6,7 @@ query's own checkpoint: input files already committed are not read again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import SparkSession, functions as F
 
 from ..columns import DEFAULT, AuditColumns
 from ..operators.scoring import ScorerFactory, prompt_table, score, with_parsed_answer
@@ -44,7 +44,3 @@ def stream_estimates(
         .start()
     )
 
-
-def live_status_counts(results: DataFrame, c: AuditColumns = DEFAULT) -> DataFrame:
-    """Running rows per model and status of a streamed result table."""
-    return results.groupBy(c.model, c.status).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -1,0 +1,12 @@
+"""Queries over the driver tables, one or more per operator, with SQL twins."""
+
+from .registry import ORACLES, QUERIES
+from . import quality, sampling, scalars, stats  # noqa: F401
+
+
+def all_queries():
+    return dict(QUERIES)
+
+
+def all_oracles():
+    return dict(ORACLES)
