@@ -1,7 +1,7 @@
 """Queries over the driver tables, one or more per operator, with SQL twins."""
 
 from .registry import ORACLES, QUERIES
-from . import quality, sampling, scalars, stats  # noqa: F401
+from . import quality, sampling, scalars, scoring, stats, storage  # noqa: F401
 
 
 def all_queries():

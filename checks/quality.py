@@ -25,12 +25,12 @@ def row_table(spark, d):
 
 
 SCORES = """scores as (select job_key, max(ai_confidence) as score from
- (select concat_ws(' || ', title, status_code, segment) as job_key, ai_confidence from audit_rows where row_id % 3 = 0 or state = '7') group by job_key)"""
+ (select concat_ws(' || ', title, status_code, segment) as job_key, ai_confidence from audit_rows where is_ai or state = '7') group by job_key)"""
 
 
 def score_rows(spark, d):
     """A score file with one row per observation: many rows per key."""
-    rows = fx.audit_rows(spark, d).where((F.col("row_id") % 3 == 0) | (F.col("state") == "7"))
+    rows = fx.audit_rows(spark, d).where(F.col("is_ai") | (F.col("state") == "7"))
     return readers.score_table(rows.withColumnsRenamed({"status_code": "soc_code", "segment": "SOC_TITLE"}), COLS_SCORE)
 
 
@@ -119,25 +119,24 @@ def j6(spark, d):
 
 @query(
     "j7_resume_pending",
-    audit("select model_id, row_id from predictions where not ((row_id + model_id) % 4 = 0 and (row_id + model_id) % 8 <> 0)"),
+    audit("select model_id, row_id from predictions where not (cohort = 'open' and est > actual)"),
 )
 def j7(spark, d):
     requested = fx.predictions(spark, d)
-    odd = (F.col("row_id") + F.col("model_id")) % 8 == 0
-    stored = requested.where((F.col("row_id") + F.col("model_id")) % 4 == 0).select(
-        "model_id", "row_id", F.when(~odd, "no_number").alias("status")
+    stored = requested.where("cohort = 'open'").select(
+        "model_id", "row_id", F.when(F.col("est") > F.col("actual"), "no_number").alias("status")
     )
     return scoring.pending_rows(requested, stored, ["model_id", "row_id"], COLS).select("model_id", "row_id")
 
 
 @query(
     "j8_upsert",
-    audit("select model_id, row_id, case when row_id % 5 = 0 then case when row_id % 10 = 0 then null else est + 1 end else est end as est from predictions"),
+    audit("select model_id, row_id, case when is_ai then case when est > actual then null else est + 1 end else est end as est from predictions"),
 )
 def j8(spark, d):
     base = fx.predictions(spark, d)
-    fixes = base.where(F.col("row_id") % 5 == 0).select(
-        "model_id", "row_id", F.when(F.col("row_id") % 10 != 0, F.col("est") + 1).alias("est")
+    fixes = base.where("is_ai").select(
+        "model_id", "row_id", F.when(F.col("est") <= F.col("actual"), F.col("est") + 1).alias("est")
     )
     return joins.upsert(base, fixes, ["model_id", "row_id"], ["est"]).select("model_id", "row_id", "est")
 
@@ -188,12 +187,12 @@ def u3(spark, d):
 
 @query(
     "b1_signed_pct_bias",
-    audit(f"select model_id, row_id, {r('case when actual >= 50000 and row_id % 6 <> model_id then greatest(least((est - actual) / actual * 100, 15), -15) end', 'spb')} from predictions"),
+    audit(f"select model_id, row_id, {r('case when actual >= 50000 and (is_ai or cohort = 'open') then greatest(least((est - actual) / actual * 100, 15), -15) end', 'spb')} from predictions"),
 )
 def b1(spark, d):
     from auditspark.functions.numeric import signed_pct_bias
 
-    est = F.when(F.col("row_id") % 6 != F.col("model_id"), F.col("est"))
+    est = F.when(F.col("is_ai") | (F.col("cohort") == "open"), F.col("est"))
     return fx.predictions(spark, d).select("model_id", "row_id", signed_pct_bias(est, F.col("actual"), 50000, 15).alias("spb"))
 
 
@@ -243,11 +242,11 @@ def b5(spark, d):
 
 # Quality and summaries ------------------------------------------------------
 
-STATUSES = "case when (row_id + model_id) % 50 = 0 then null else status end"
+STATUSES = "case when actual > 400000 then null else status end"
 
 
 def gappy(spark, d):
-    gap = (F.col("row_id") + F.col("model_id")) % 50 == 0
+    gap = F.col("actual") > 400000
     return answers(spark, d).withColumn("status", F.when(~gap, F.col("status")))
 
 

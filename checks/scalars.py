@@ -394,10 +394,10 @@ def f5(spark, d):
 
 @query(
     "f6_valid_pairs",
-    audit("select model_id, row_id from predictions where actual >= 50000 and row_id % 9 <> model_id"),
+    audit("select model_id, row_id from predictions where actual >= 50000 and (is_ai or cohort = 'open')"),
 )
 def f6(spark, d):
-    gaps = fx.predictions(spark, d).withColumn("est", F.when(F.col("row_id") % 9 != F.col("model_id"), F.col("est")))
+    gaps = fx.predictions(spark, d).withColumn("est", F.when(F.col("is_ai") | (F.col("cohort") == "open"), F.col("est")))
     return filters.valid_pairs(gaps, COLS, 50000).select("model_id", "row_id")
 
 
