@@ -187,7 +187,7 @@ def u3(spark, d):
 
 @query(
     "b1_signed_pct_bias",
-    audit(f"select model_id, row_id, {r('case when actual >= 50000 and (is_ai or cohort = 'open') then greatest(least((est - actual) / actual * 100, 15), -15) end', 'spb')} from predictions"),
+    audit(f"select model_id, row_id, {r('case when actual >= 50000 and (is_ai or model_id < 4) then greatest(least((est - actual) / actual * 100, 15), -15) end', 'spb')} from predictions"),
 )
 def b1(spark, d):
     from auditspark.functions.numeric import signed_pct_bias
