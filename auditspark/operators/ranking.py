@@ -102,6 +102,9 @@ def exact_quantiles(
     """Linear-interpolation quantiles of each measure per key.
 
     Output columns are ``{prob name}_{measure name}``; keys must not be null.
+    The input is read three times (scale, histogram, rows near the wanted
+    ranks) and only histograms and those rows are shuffled; store an input that
+    is costly to compute.
     """
     scaled = df.withColumn("__s", _scales(df, measures))
     entries = [
@@ -116,12 +119,9 @@ def exact_quantiles(
         *keys, F.col("__e.m").alias("__m"), F.col("__e.v").alias("__v"), F.col("__e.b").alias(_B)
     )
     gk = keys + ["__m"]
-    counts = (
-        long.where(_present([*gk, _B, "__v"]))
-        .groupBy(*gk, _B, "__v")
-        .agg(F.count(F.lit(1)).alias(_C))
-    )
-    off = bucket_offsets(counts, gk)
+    long = long.where(_present([*gk, _B, "__v"]))
+    # Pass one: a histogram, combined before its shuffle.
+    off = bucket_offsets(long.withColumn(_C, F.lit(1)), gk)
     position = lambda p: F.lit(float(p)) * (F.col("__total") - 1)
     wanted = F.explode(
         F.array(
@@ -142,13 +142,13 @@ def exact_quantiles(
         .where((F.col("w.rank") >= F.col("__before")) & (F.col("w.rank") < F.col("__before") + F.col("__in")))
         .select(*gk, _B, "__before", "w.p", "w.side", "w.rank", "w.frac")
     )
-    inside = (
-        Window.partitionBy(*gk, _B, "p", "side").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    # Pass two: only rows in a bucket that holds a wanted rank go on.
+    near = long.join(targets, gk + [_B]).groupBy(*gk, "p", "side", "rank", "frac", "__before", "__v").agg(
+        F.count(F.lit(1)).alias(_C)
     )
-    hit = (
-        counts.join(targets, gk + [_B])
-        .withColumn("__upto", F.col("__before") + F.sum(_C).over(inside))
-        .where((F.col("rank") < F.col("__upto")) & (F.col("rank") >= F.col("__upto") - F.col(_C)))
+    inside = Window.partitionBy(*gk, "p", "side").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    hit = near.withColumn("__upto", F.col("__before") + F.sum(_C).over(inside)).where(
+        (F.col("rank") < F.col("__upto")) & (F.col("rank") >= F.col("__upto") - F.col(_C))
     )
     outputs = []
     for name in probs:

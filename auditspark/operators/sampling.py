@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..columns import DEFAULT, AuditColumns
 from ..functions.numeric import unit_hash
+from ..session import materialize
 from .joins import lookup_join
 from .labelling import block_counts, eligible_blocks
 from .ranking import _B, _C, running_counts, value_counts
@@ -185,9 +186,10 @@ def balanced_sample(
 ) -> DataFrame:
     """Half labelled, half other, equal within each block. ``rows`` carries the
     label and block columns."""
-    blocks = eligible_blocks(block_counts(rows, c), min_ai, min_other)
+    # One row per block, read by every step below.
+    blocks = materialize(eligible_blocks(block_counts(rows, c), min_ai, min_other), "blocks")
     target = feasible_target(blocks, target_total // 2, max_per_block, allow_short)
     quotas = quota_race(blocks, target, seed, mode, max_per_block, c.block).join(
         blocks.select(c.block, "n_ai", "n_other"), c.block
     )
-    return sample_within_blocks(rows, quotas, seed, c)
+    return sample_within_blocks(rows, materialize(quotas, "quotas"), seed, c)

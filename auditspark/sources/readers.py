@@ -36,6 +36,15 @@ def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = Tru
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use every core on an input kept in fewer files than there are cores.
+
+    A table of many files is returned as it is: its scan already has the tasks.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """One stripped title per line; every line counts."""
     return spark.read.text(path).select(strip(F.col("value")).alias("job_title"))

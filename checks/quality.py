@@ -8,6 +8,7 @@ from auditspark.columns import DIFF_USD, IS_AI, LOG_RATIO, PCT_POINTS, RATIO
 from auditspark.operators import filters, joins, labelling, metrics, quality, ranking, scoring, summaries
 from auditspark.plans import fixtures as fx
 from auditspark.plans.fixtures import COLS, table
+from auditspark.session import materialize
 from auditspark.sources import readers
 
 from .registry import audit, n, query, r
@@ -15,13 +16,19 @@ from .scalars import answers
 
 
 def long_rows(spark, d):
-    """Parsed answers with metrics and a 0/1 label."""
-    rows = filters.parsed_rows(answers(spark, d), COLS).withColumn(IS_AI, F.col("is_ai").cast("int"))
+    """Parsed answers with metrics and a 0/1 label; parsed once and stored."""
+    rows = materialize(filters.parsed_rows(answers(spark, d), COLS), "parsed").withColumn(IS_AI, F.col("is_ai").cast("int"))
     return metrics.with_metrics(rows, COLS)
 
 
+def stored_rows(spark, d):
+    """The row averages, stored for operators that read them more than once."""
+    return materialize(row_table(spark, d), "rows")
+
+
 def row_table(spark, d):
-    return metrics.row_averages(long_rows(spark, d), COLS, ["block_id", "actual", "is_ai", IS_AI, "ai_confidence", "state", "segment"])
+    rows = filters.parsed_rows(answers(spark, d), COLS).withColumn(IS_AI, F.col("is_ai").cast("int"))
+    return metrics.row_averages(metrics.with_metrics(rows, COLS), COLS, ["block_id", "actual", "is_ai", IS_AI, "ai_confidence", "state", "segment"])
 
 
 SCORES = """scores as (select job_key, max(ai_confidence) as score from
@@ -339,7 +346,7 @@ def a6(spark, d):
     digits=4,
 )
 def a7(spark, d):
-    return summaries.label_group_summary(row_table(spark, d), COLS)
+    return summaries.label_group_summary(stored_rows(spark, d), COLS)
 
 
 @query(
@@ -354,7 +361,7 @@ def a7(spark, d):
     digits=7,
 )
 def a8(spark, d):
-    return summaries.block_contrasts(row_table(spark, d), COLS)
+    return summaries.block_contrasts(stored_rows(spark, d), COLS)
 
 
 @query(

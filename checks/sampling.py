@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from auditspark.operators import labelling, ranking, sampling
 from auditspark.plans import fixtures as fx, sample as sample_plan
 from auditspark.plans.fixtures import COLS, table
+from auditspark.session import materialize
 
 from .registry import audit, n, query, r, u52
 from .scalars import LEVEL, STATUS, UNIT
@@ -70,7 +71,7 @@ def with_blocks(body: str, more: str = "") -> str:
 
 
 def eligible(spark, d):
-    return labelling.eligible_blocks(labelling.block_counts(fx.audit_rows(spark, d), COLS))
+    return materialize(labelling.eligible_blocks(labelling.block_counts(fx.audit_rows(spark, d), COLS)), "blocks")
 
 
 @query("l4_block_counts", audit("select block_id, count(*) filter (is_ai) as n_ai, count(*) filter (not is_ai) as n_other from audit_rows group by block_id"))
@@ -144,7 +145,8 @@ def m3(spark, d):
 
 def m_quotas(spark, d):
     blocks = eligible(spark, d)
-    return sampling.quota_race(blocks, TARGET, SEED, "inverse_sqrt", CAP).join(blocks.select("block_id", "n_ai", "n_other"), "block_id")
+    race = sampling.quota_race(blocks, TARGET, SEED, "inverse_sqrt", CAP)
+    return materialize(race.join(blocks.select("block_id", "n_ai", "n_other"), "block_id"), "quotas")
 
 
 DRAWN = f"""select row_id, block_id, is_ai from (select a.row_id, a.block_id, a.is_ai, quota,

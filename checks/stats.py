@@ -9,8 +9,9 @@ from auditspark.functions import numeric
 from auditspark.operators import metrics, normality, regression, stat_tests, summaries
 from auditspark.plans import compare, fixtures as fx
 from auditspark.plans.fixtures import COLS
+from auditspark.session import materialize
 
-from .quality import UPLIFTS, long_rows, row_table, uplifts
+from .quality import UPLIFTS, long_rows, row_table, stored_rows, uplifts
 from .registry import WELCH, audit, n, query, r, t_p, two_groups, u52
 
 
@@ -70,7 +71,7 @@ def t1_table(spark, d):
     ),
 )
 def t1_rows(spark, d):
-    return stat_tests.row_welch_table(row_table(spark, d))
+    return stat_tests.row_welch_table(stored_rows(spark, d))
 
 
 @query(
@@ -143,7 +144,9 @@ ONE = """(select {key} count(*) as n, avg(ai_pct - other_pct) as mean, median(ai
     ),
 )
 def t6(spark, d):
-    return stat_tests.block_contrast_summary(summaries.block_contrasts(row_table(spark, d), COLS))
+    return stat_tests.block_contrast_summary(
+        materialize(summaries.block_contrasts(stored_rows(spark, d), COLS), "blocks")
+    )
 
 
 @query(
@@ -157,7 +160,9 @@ def t6(spark, d):
     ),
 )
 def t6_models(spark, d):
-    return stat_tests.model_block_summary(summaries.model_block_contrasts(long_rows(spark, d), COLS), COLS)
+    return stat_tests.model_block_summary(
+        materialize(summaries.model_block_contrasts(long_rows(spark, d), COLS), "model_blocks"), COLS
+    )
 
 
 @query(
@@ -229,7 +234,7 @@ def t10(spark, d):
     ),
 )
 def t9_t10(spark, d):
-    return stat_tests.confidence_correlation(row_table(spark, d), COLS)
+    return stat_tests.confidence_correlation(stored_rows(spark, d), COLS)
 
 
 N_PERM = 2000
