@@ -31,6 +31,22 @@ def require_empty(violations: DataFrame, message: str, examples: int = 20) -> No
         raise ValueError(f"{message}; examples: {[r.asDict() for r in rows]}")
 
 
+def require_none(df: DataFrame, rules: dict[str, Column], show: list[str], examples: int = 20) -> None:
+    """Raise when any row breaks a rule. One pass counts all rules together;
+    example rows are fetched only for a broken one."""
+    names = list(rules)
+    counts = df.agg(*[F.count_if(rules[name]).alias(f"r{i}") for i, name in enumerate(names)]).first()
+    for i, name in enumerate(names):
+        if counts[i]:
+            rows = df.where(rules[name]).select(*show).limit(examples).collect()
+            raise ValueError(f"{counts[i]} rows: {name}; examples: {[r.asDict() for r in rows]}")
+
+
+def is_parsed(c: AuditColumns = DEFAULT) -> Column:
+    """The answer was processed and gave a number."""
+    return F.coalesce(F.col(c.status).isin(*COMPLETED, OK_LEGACY), F.lit(False)) & F.col(c.estimate).isNotNull()
+
+
 def eligibility_steps(
     df: DataFrame,
     status_col: str = "CASE_STATUS",
@@ -84,14 +100,16 @@ def valid_pairs(df: DataFrame, c: AuditColumns = DEFAULT, min_actual: float = 1.
 
 
 def parsed_rows(df: DataFrame, c: AuditColumns = DEFAULT) -> DataFrame:
-    """Rows whose answer was processed and gave a number."""
-    return df.where(F.col(c.status).isin(*COMPLETED, OK_LEGACY) & F.col(c.estimate).isNotNull())
+    return df.where(is_parsed(c))
+
+
+def is_out_of_range(column: str, low: float, high: float, missing_is_bad: bool) -> Column:
+    return F.coalesce(~F.col(column).between(low, high), F.lit(missing_is_bad))
 
 
 def out_of_range(df: DataFrame, column: str, low: float, high: float, missing_is_bad: bool) -> DataFrame:
     """Rows whose ``column`` lies outside [low, high]."""
-    bad = ~F.col(column).between(low, high)
-    return df.where(bad | F.col(column).isNull() if missing_is_bad else bad)
+    return df.where(is_out_of_range(column, low, high, missing_is_bad))
 
 
 def unreasonable(

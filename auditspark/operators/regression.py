@@ -46,31 +46,39 @@ def design_cells(df: DataFrame, key: str, y: str, label: str, absorb: str, facto
 
 
 def absorbed_hc3(df: DataFrame, key: str, y: str, label: str, absorb: str) -> DataFrame:
-    """Label coefficient with one absorbed factor, in closed form."""
-    cells = design_cells(df, key, y, label, absorb, [], [])
-    level = cells.groupBy(key, absorb).agg(
-        F.sum("n").alias("nb"),
-        (F.sum(F.col("n") * F.col(LABEL)) / F.sum("n")).alias("lb"),
-        (F.sum(F.col("n") * F.col("ym")) / F.sum("n")).alias("yb"),
-    )
-    dev = lookup_join(cells, level, [key, absorb], "inner", [LABEL]).withColumns(
-        {"d": F.col(LABEL) - F.col("lb"), "r": F.col("ym") - F.col("yb")}
-    )
-    slope = dev.groupBy(key).agg(
-        F.sum(F.col("n") * F.col("d") * F.col("d")).alias("sdd"), F.sum(F.col("n") * F.col("d") * F.col("r")).alias("sdr")
-    )
-    n, d = F.col("n"), F.col("d")
-    fit = lookup_join(dev, slope, [key], "inner", [absorb, LABEL]).withColumn(
-        "beta", F.try_divide(F.col("sdr"), F.nullif(F.col("sdd"), F.lit(0.0)))
-    )
-    rest = F.lit(1.0) - (F.lit(1.0) / F.col("nb") + F.try_divide(d * d, F.nullif(F.col("sdd"), F.lit(0.0))))
-    resid = F.col("r") - F.col("beta") * d
-    sse = F.col("m2") + n * resid * resid
-    term = F.when(F.abs(rest) < 1e-9, F.lit(0.0)).otherwise(d * d * sse / (rest * rest))
+    """Coefficient of a true/false label with one absorbed factor, in closed form.
+
+    One aggregate gives both groups' size, mean and spread per level; all that
+    follows reads one row per level. A level with one group only has no say.
+    """
+    lab, v = F.col(label).cast("boolean"), F.col(y).cast("double")
+    aggs = []
+    for tag, chosen in (("1", lab), ("0", ~lab)):
+        x = F.when(chosen, v)
+        aggs += [F.count(x).alias("n" + tag), F.coalesce(F.avg(x), F.lit(0.0)).alias("y" + tag)]
+        aggs.append(F.coalesce(F.var_pop(x) * F.count(x), F.lit(0.0)).alias("s" + tag))
+    factor = F.coalesce(F.col(absorb).cast("string"), F.lit("")).alias(absorb)
+    levels = df.where(lab.isNotNull() & v.isNotNull()).groupBy(key, factor).agg(*aggs)
+    nb = F.col("n1") + F.col("n0")
+    levels = levels.withColumns({"nb": nb, "p": F.col("n1") / nb, "gap": F.col("y1") - F.col("y0")})
+    # Within a level: d = 1 - p and -p, and the centred means are d * gap.
+    spread = F.col("nb") * F.col("p") * (1 - F.col("p"))
+    levels = materialize(levels.withColumn("w", spread), "levels")
+    slope = levels.groupBy(key).agg(F.sum("w").alias("sdd"), F.sum(F.col("w") * F.col("gap")).alias("sdr"))
+    slope = slope.withColumn("beta", F.try_divide(F.col("sdr"), F.nullif(F.col("sdd"), F.lit(0.0))))
+    fit = lookup_join(levels, slope, [key], "inner", [absorb])
+
+    def term(n: str, s: str, d: Column) -> Column:
+        rest = F.lit(1.0) - (F.lit(1.0) / F.col("nb") + F.try_divide(d * d, F.nullif(F.col("sdd"), F.lit(0.0))))
+        resid = d * (F.col("gap") - F.col("beta"))
+        sse = F.col(s) + F.col(n) * resid * resid
+        return F.when((F.abs(rest) < 1e-9) | (F.col(n) == 0), F.lit(0.0)).otherwise(d * d * sse / (rest * rest))
+
+    both = F.when(F.col("w") > 0, term("n1", "s1", 1 - F.col("p")) + term("n0", "s0", -F.col("p"))).otherwise(F.lit(0.0))
     out = fit.groupBy(key).agg(
-        F.sum("n").alias("n"),
+        F.sum("nb").alias("n"),
         F.max("beta").alias("label_coef"),
-        (F.sqrt(F.sum(term)) / F.nullif(F.max("sdd"), F.lit(0.0))).alias("label_se"),
+        (F.sqrt(F.sum(both)) / F.nullif(F.max("sdd"), F.lit(0.0))).alias("label_se"),
     )
     return _report(out.withColumn("status", F.when(F.col("label_coef").isNull(), "not_estimable").otherwise("ok")))
 

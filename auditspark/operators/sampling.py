@@ -154,7 +154,8 @@ def sample_within_blocks(
         .where((F.col("__before") < F.col("__q")) & (F.col("__q") <= F.col("__before") + F.col("__in")))
         .select(*group, F.col(_B).alias("__cut"), (F.col("__q") - F.col("__before")).alias("__need"))
     )
-    kept = lookup_join(tagged, cuts, group, "inner", [c.row_id], limit).where(F.col(_B) <= F.col("__cut"))
+    # One row per group, stored: its size is then known to the join.
+    kept = lookup_join(tagged, materialize(cuts, "cuts"), group, "inner", [c.row_id], limit).where(F.col(_B) <= F.col("__cut"))
     place = F.row_number().over(Window.partitionBy(*group, _B).orderBy("__u", c.row_id))
     return (
         kept.withColumn("__rn", place)

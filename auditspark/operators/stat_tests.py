@@ -9,6 +9,7 @@ from ..columns import DEFAULT, DELTA_PCT, IS_AI, MEAN_PCT, PCT_POINTS, AuditColu
 from ..functions.dist import p_correlation, p_greater, p_sign, p_two_sided, t_critical
 from ..functions.numeric import effect_size, significant, unit_hash
 from ..functions.text import model_family
+from ..session import materialize
 from .joins import lookup_join
 from .ranking import average_ranks, exact_medians
 
@@ -248,7 +249,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
     cells = both.groupBy(x, y).agg(F.count(F.lit(1)).alias("w"))
-    ranked = lookup_join(cells, average_ranks(both, x, "rx"), [x], "inner", [y])
+    ranked = materialize(lookup_join(cells, average_ranks(both, x, "rx"), [x], "inner", [y]), "ranked")
     ranked = lookup_join(ranked, average_ranks(both, y, "ry"), [y], "inner", [x])
     n = both.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     mid = (n + 1) / F.lit(2.0)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..columns import DEFAULT, DIFF_USD, IS_AI, LOG_RATIO, PCT_POINTS, RATIO, AuditColumns
 from ..functions.numeric import clip, parse_money, to_number
 from ..functions.text import TRUTHY_ANALYSIS, truthy
-from ..operators.filters import out_of_range, parsed_rows, require_empty
+from ..operators.filters import is_out_of_range, is_parsed, parsed_rows, require_none
 from ..operators.metrics import row_averages, with_metrics
 from ..operators.quality import identical_vectors, prediction_vector_qc, raw_output_qc, run_counts, status_counts
 from ..operators.stat_tests import (
@@ -35,17 +35,13 @@ def analysis_rows(
     coerced: DataFrame, low: float = 20_000, high: float = 1_000_000, c: AuditColumns = DEFAULT, check: bool = True
 ) -> DataFrame:
     """Parsed rows with metrics; impossible actuals or predictions are errors."""
-    parsed = parsed_rows(coerced, c)
     if check:
-        require_empty(
-            out_of_range(coerced, c.actual, low, high, True).select(c.model, c.row_id, c.actual),
-            f"{c.actual} missing or outside [{low}, {high}]",
-        )
-        bad = out_of_range(parsed, c.estimate, low, high, False)
-        require_empty(
-            bad.select(c.model, c.row_id, c.estimate, c.raw, c.status), f"predictions outside [{low}, {high}]"
-        )
-    return with_metrics(parsed, c)
+        rules = {
+            f"{c.actual} missing or outside [{low}, {high}]": is_out_of_range(c.actual, low, high, True),
+            f"predictions outside [{low}, {high}]": is_parsed(c) & is_out_of_range(c.estimate, low, high, False),
+        }
+        require_none(coerced, rules, [c.model, c.row_id, c.actual, c.estimate, c.raw, c.status])
+    return with_metrics(parsed_rows(coerced, c), c)
 
 
 def preferred_order(c: AuditColumns = DEFAULT) -> list[str]:
@@ -69,7 +65,7 @@ def analysis_tables(
     rows = materialize(row_averages(long, c), "row_average")
     blocks = materialize(block_contrasts(rows, c), "blocks")
     model_blocks = materialize(model_block_contrasts(long, c), "model_blocks")
-    vectors = prediction_vector_qc(long, c)
+    vectors = materialize(prediction_vector_qc(long, c), "vectors")
     return {
         "model_row_salary_overestimation_long": long,
         "row_average_salary_overestimation": rows,

@@ -1,7 +1,14 @@
 """Queries over the driver tables, one or more per operator, with SQL twins."""
 
-from .registry import ORACLES, QUERIES
-from . import quality, sampling, scalars, scoring, stats, storage  # noqa: F401
+import sys
+
+from pyspark import cloudpickle
+
+# The stand-in scorers run inside tasks and travel with the plan.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from .registry import ORACLES, QUERIES  # noqa: E402
+from . import quality, sampling, scalars, scoring, stats, storage  # noqa: E402, F401
 
 
 def all_queries():
