@@ -19,16 +19,18 @@ def _byte_limit(df: DataFrame) -> int:
     return int(raw)
 
 
-def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
-    """Whether the optimizer's own size estimate is below the broadcast limit."""
-    limit = _byte_limit(df) if limit is None else limit
-    if limit <= 0:
-        return False
+def estimated_bytes(df: DataFrame) -> float:
+    """The optimizer's size estimate; infinite where it cannot be asked."""
     try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size.toString()) <= limit
+        return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     except AttributeError:  # no JVM handle (remote session)
-        return False
+        return float("inf")
+
+
+def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether the estimated size is below the broadcast limit."""
+    limit = _byte_limit(df) if limit is None else limit
+    return limit > 0 and estimated_bytes(df) <= limit
 
 
 def hot_keys(df: DataFrame, on: list[str], parts: int) -> DataFrame:
@@ -45,6 +47,7 @@ def lookup_join(
     how: str = "left",
     spread_by: list[str] | None = None,
     limit: int | None = None,
+    hot: bool = True,
 ) -> DataFrame:
     """Join a large table to a lookup table with unique ``on`` keys.
 
@@ -52,20 +55,23 @@ def lookup_join(
     hold at least 1/P of the fact rows (P = shuffle partitions, so at most P
     keys) are salted over P tasks and only their lookup rows are replicated;
     all other keys join once. The salt is a hash of ``spread_by`` (row identity)
-    and hence the same when a task is run again.
+    and hence the same when a task is run again. ``hot=False`` states that the
+    fact side cannot have a hot key (row ids) and saves the counting pass.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported join type: {how}")
     if fits_broadcast(dim, limit):
         return fact.join(F.broadcast(dim), on, how)
+    if not hot:
+        return fact.join(dim, on, how)
     parts = shuffle_width(fact.sparkSession)
-    hot = F.broadcast(hot_keys(fact, on, parts).withColumn(_HOT, F.lit(True)))
+    heavy = F.broadcast(hot_keys(fact, on, parts).withColumn(_HOT, F.lit(True)))
     spread = spread_by or [c for c in fact.columns if c not in on] or on
-    salted_fact = fact.join(hot, on, "left").withColumn(
+    salted_fact = fact.join(heavy, on, "left").withColumn(
         _SALT,
         F.when(F.col(_HOT), F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int")).otherwise(F.lit(0)),
     ).drop(_HOT)
-    salted_dim = dim.join(hot, on, "left").withColumn(
+    salted_dim = dim.join(heavy, on, "left").withColumn(
         _SALT,
         F.explode(F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))),
     ).drop(_HOT)
@@ -75,10 +81,10 @@ def lookup_join(
 def left_join_renamed(
     left: DataFrame, right: DataFrame, key: str, suffix: str = "_meta", **kwargs
 ) -> DataFrame:
-    """Left join in which clashing right columns get ``suffix``."""
+    """Left join by row id in which clashing right columns get ``suffix``."""
     clashes = [c for c in right.columns if c != key and c in left.columns]
     renamed = right.withColumnsRenamed({c: c + suffix for c in clashes})
-    return lookup_join(left, renamed, [key], "left", **kwargs)
+    return lookup_join(left, renamed, [key], "left", hot=False, **kwargs)
 
 
 def upsert(

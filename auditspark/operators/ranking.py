@@ -96,12 +96,10 @@ def average_ranks(df: DataFrame, value: str, rank_name: str) -> DataFrame:
     return ranked.select(value, mean_rank.alias(rank_name))
 
 
-def exact_quantiles(
-    df: DataFrame, keys: list[str], measures: dict[str, Column], probs: dict[str, float]
-) -> DataFrame:
-    """Linear-interpolation quantiles of each measure per key.
+def _values_at_ranks(df: DataFrame, keys: list[str], measures: dict[str, Column], wanted: list[Column]) -> DataFrame:
+    """The values at wanted ranks (from 0) of each measure within each key.
 
-    Output columns are ``{prob name}_{measure name}``; keys must not be null.
+    ``wanted`` are structs of p, side, rank and frac, built over ``__total``.
     The input is read three times (scale, histogram, rows near the wanted
     ranks) and only histograms and those rows are shuffled; store an input that
     is costly to compute.
@@ -122,23 +120,8 @@ def exact_quantiles(
     long = long.where(_present([*gk, _B, "__v"]))
     # Pass one: a histogram, combined before its shuffle.
     off = bucket_offsets(long.withColumn(_C, F.lit(1)), gk)
-    position = lambda p: F.lit(float(p)) * (F.col("__total") - 1)
-    wanted = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("p"),
-                    F.lit(side).alias("side"),
-                    (F.floor(position(p)) if side == "lo" else F.ceil(position(p))).cast("long").alias("rank"),
-                    (position(p) - F.floor(position(p))).alias("frac"),
-                )
-                for name, p in probs.items()
-                for side in ("lo", "hi")
-            ]
-        )
-    )
     targets = (
-        off.select(*gk, _B, "__before", "__in", wanted.alias("w"))
+        off.select(*gk, _B, "__before", "__in", F.explode(F.array(*wanted)).alias("w"))
         .where((F.col("w.rank") >= F.col("__before")) & (F.col("w.rank") < F.col("__before") + F.col("__in")))
         .select(*gk, _B, "__before", "w.p", "w.side", "w.rank", "w.frac")
     )
@@ -147,9 +130,25 @@ def exact_quantiles(
         F.count(F.lit(1)).alias(_C)
     )
     inside = Window.partitionBy(*gk, "p", "side").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    hit = near.withColumn("__upto", F.col("__before") + F.sum(_C).over(inside)).where(
+    return near.withColumn("__upto", F.col("__before") + F.sum(_C).over(inside)).where(
         (F.col("rank") < F.col("__upto")) & (F.col("rank") >= F.col("__upto") - F.col(_C))
     )
+
+
+def exact_quantiles(
+    df: DataFrame, keys: list[str], measures: dict[str, Column], probs: dict[str, float]
+) -> DataFrame:
+    """Linear-interpolation quantiles of each measure per key.
+
+    Output columns are ``{prob name}_{measure name}``; keys must not be null.
+    """
+    wanted = []
+    for name, p in probs.items():
+        at = F.lit(float(p)) * (F.col("__total") - 1)
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            parts = [F.lit(name).alias("p"), F.lit(side).alias("side"), rank.cast("long").alias("rank"), (at - F.floor(at)).alias("frac")]
+            wanted.append(F.struct(*parts))
+    hit = _values_at_ranks(df, keys, measures, wanted)
     outputs = []
     for name in probs:
         for m in measures:
@@ -161,6 +160,13 @@ def exact_quantiles(
     return hit.groupBy(*keys).agg(*outputs)
 
 
+def kth_smallest(df: DataFrame, value: str, k: int) -> Column:
+    """The k-th smallest value (from 1) as a scalar; null when there is none."""
+    rank = F.struct(F.lit("k").alias("p"), F.lit("k").alias("side"), F.lit(k - 1).cast("long").alias("rank"), F.lit(0.0).alias("frac"))
+    hit = _values_at_ranks(df, [], {"v": F.col(value)}, [rank])
+    return hit.agg(F.max("__v").alias("v")).select("v").scalar()
+
+
 def exact_medians(df: DataFrame, keys: list[str], measures: dict[str, Column]) -> DataFrame:
     """Exact medians; output columns are ``median_{measure name}``."""
     return exact_quantiles(df, keys, measures, {"median": 0.5})

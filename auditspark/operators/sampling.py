@@ -9,7 +9,7 @@ from ..functions.numeric import unit_hash
 from ..session import materialize
 from .joins import lookup_join
 from .labelling import block_counts, eligible_blocks
-from .ranking import _B, _C, running_counts, value_counts
+from .ranking import _B, _C, kth_smallest, running_counts
 
 SEGMENT = 1024
 
@@ -47,7 +47,7 @@ def quota_race(
     Each block gets arrivals with exponential gaps of rate = its weight and
     stops at its capacity; the first ``target`` arrivals overall are the units.
     Arrival times are prefix sums in segments of 1024 gaps, and the overall cut
-    uses bucketed ranks, so neither a large block nor a large target gathers in
+    selects one order statistic by histogram, so neither a large block nor a large target gathers in
     one task.
     """
     cap = effective_capacity(max_per_block)
@@ -71,12 +71,10 @@ def quota_race(
     arrivals = gaps.join(starts, [block, "__seg"]).select(
         block, (F.col("__start") + F.sum("__gap").over(inside)).alias("__t")
     )
-    # Ties in time have no practical chance; the block makes the cut total.
-    counted = value_counts(arrivals, [], "__t")
-    cut = running_counts(counted, [], ["__t"]).where(F.col("__below") < target)
-    last = cut.agg(F.max("__t").alias("t")).select("t").scalar()
-    chosen = arrivals.where(F.col("__t") <= last).groupBy(block).agg(F.count(F.lit(1)).alias("quota"))
-    return chosen
+    # Two arrivals at one instant (of 2**52) have no practical chance.
+    short = F.raise_error(F.lit(f"the blocks cannot supply {target} units")).cast("double")
+    last = F.coalesce(kth_smallest(arrivals, "__t", target), short)
+    return arrivals.where(F.col("__t") <= last).groupBy(block).agg(F.count(F.lit(1)).alias("quota"))
 
 
 def quota_proportional(

@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 from ..columns import DEFAULT, AuditColumns
 from ..functions.parse import COMPLETED, INFERENCE_ERROR, parse_answer, parse_digits
 from ..functions.prompts import chat, persona_system, salary_user
+from ..session import materialize
 from .filters import unreasonable
-from .joins import upsert
+from .joins import lookup_join, upsert
 
 # A scorer maps a batch of chats to one answer text each. A factory builds it
 # once per task, so that clients and models load on the executor.
@@ -22,8 +23,15 @@ ScorerFactory = Callable[[], Scorer]
 
 def prompt_table(df: DataFrame, personas: list[str], c: AuditColumns = DEFAULT) -> DataFrame:
     """Rows times personas, each with its chat; a literal array, so no join."""
-    named = df.withColumn("persona", F.explode(F.array(*[F.lit(p) for p in personas])))
-    return named.withColumn("messages", chat(persona_system(F.col("persona")), salary_user(c)))
+    return with_messages(with_personas(df, personas), c)
+
+
+def with_personas(df: DataFrame, personas: list[str]) -> DataFrame:
+    return df.withColumn("persona", F.explode(F.array(*[F.lit(p) for p in personas])))
+
+
+def with_messages(df: DataFrame, c: AuditColumns = DEFAULT) -> DataFrame:
+    return df.withColumn("messages", chat(persona_system(F.col("persona")), salary_user(c)))
 
 
 def score(
@@ -75,16 +83,16 @@ def score_distinct(
 ) -> DataFrame:
     """Score each distinct chat once and hand the answer to all its rows.
 
-    Equal chats are found by hash *and* text, so a hash collision cannot mix
-    answers. The answer side is as large as the distinct prompts and a popular
-    prompt may cover many rows: the lookup join salts it.
+    Rows and answers meet on a SHA-256 of the chat, so the long texts are moved
+    once, combined before the shuffle. The answer side is as large as the
+    distinct prompts and a popular prompt may cover many rows: the lookup join
+    salts it.
     """
-    from .joins import lookup_join
-
-    keyed = prompts.withColumn("__text", F.to_json(messages))
-    asked = keyed.groupBy("__text").agg(F.first(messages).alias(messages))
-    answered = score(asked, scorer_factory, ["__text"], messages)
-    return lookup_join(keyed.select(*keep, "__text"), answered, ["__text"], "left", keep).drop("__text")
+    keyed = prompts.withColumn("__key", F.sha2(F.to_json(messages), 256))
+    asked = keyed.groupBy("__key").agg(F.first(messages).alias(messages))
+    # Stored, so that a model is asked once whatever reads the answers.
+    answered = materialize(score(asked, scorer_factory, ["__key"], messages), "answers")
+    return lookup_join(keyed.select(*keep, "__key"), answered, ["__key"], "left", keep).drop("__key")
 
 
 def with_parsed_answer(df: DataFrame, c: AuditColumns = DEFAULT, output: str = "output") -> DataFrame:
@@ -136,7 +144,8 @@ def retry_unreasonable(
     """Ask again for unreasonable estimates; returns (whole table, re-scored rows)."""
     bad = df.where(unreasonable(F.col(c.estimate), F.col(c.actual), low, high, pct))
     prompts = bad.withColumn("messages", chat(persona_system(F.lit(persona)), salary_user(c)))
-    answered = with_parsed_answer(score(prompts, scorer_factory, [*keys, c.actual]), c)
+    # Stored: the model must be asked once although two results read this.
+    answered = with_parsed_answer(materialize(score(prompts, scorer_factory, [*keys, c.actual]), "answers"), c)
     if legacy_parse:
         answered = answered.withColumn(c.estimate, parse_digits(F.col(c.raw)))
     dtype = df.schema[c.estimate].dataType

@@ -9,8 +9,8 @@ from ..columns import DEFAULT, AuditColumns
 from ..functions.prompts import messages_to_text, title_messages
 from ..operators.filters import require_columns
 from ..operators.scoring import (
-    ScorerFactory, latest_results, pending_rows, prompt_table, retry_unreasonable, score, simple_tokens,
-    token_ids, token_summary, with_parsed_answer,
+    ScorerFactory, latest_results, pending_rows, retry_unreasonable, score, simple_tokens, token_ids, token_summary,
+    with_messages, with_parsed_answer, with_personas,
 )
 from ..sources.readers import distinct_titles
 from ..sources.writers import append_run, write_version
@@ -52,9 +52,11 @@ def estimate(
     require_columns(rows, [c.row_id, *prompt_columns(c)], "rows to score")
     spark = rows.sparkSession
     keys = [c.model, "persona", c.row_id]
-    wanted = prompt_table(rows, personas, c).withColumn(c.model, F.lit(model))
+    wanted = with_personas(rows, personas).withColumn(c.model, F.lit(model))
     stored = read_results(spark, path)
+    # Finished rows go before the prompts are written out, so no text is shuffled.
     todo = wanted if stored is None else pending_rows(wanted, stored, keys, c)
+    todo = with_messages(todo, c)
     carried = [x for x in carried_columns(c) if x in rows.columns]
     if chunks:
         todo = todo.repartition(chunks)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from ..columns import DEFAULT, AuditColumns
@@ -12,7 +12,7 @@ from ..functions.text import (
     TRUTHY_LABEL_FILE, analysis_block, job_key, model_family, norm_title, slug_from_path, strip, truthy,
 )
 from ..operators.filters import require_columns, require_empty, require_min_models
-from ..operators.joins import first_per_key, left_join_renamed, lookup_join
+from ..operators.joins import estimated_bytes, first_per_key, left_join_renamed, lookup_join
 from ..operators.quality import duplicate_rows
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
@@ -39,10 +39,13 @@ def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = Tru
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use every core on an input kept in fewer files than there are cores.
 
-    A table of many files is returned as it is: its scan already has the tasks.
+    A table whose scan has the tasks already (by files or by 128 MB splits) is
+    returned as it is, so only small tables are ever moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
+    if len(df.inputFiles()) >= cores or estimated_bytes(df) >= cores * (128 << 20):
+        return df
+    return df.repartition(cores, *keys)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -80,16 +83,22 @@ def distinct_titles(df: DataFrame, title: str = DEFAULT.title) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, row_id: str = DEFAULT.row_id) -> DataFrame:
-    """Number the rows in file order where the table has no row id.
+    """Number the rows of a file scan in file order where it has no row id.
 
-    ``zipWithIndex`` counts partitions first and then numbers them in place, so
-    nothing is gathered. Store the result before using the ids as keys.
+    Spark's own increasing id holds (partition, position); the rows before each
+    partition turn it into a dense number. The table of partitions is as long as
+    the scan has tasks, which bounds the broadcast. Store the result before
+    using the ids as keys.
     """
     if row_id in df.columns:
         return df
-    schema = T.StructType([T.StructField(row_id, T.LongType(), False), *df.schema.fields])
-    numbered = df.rdd.zipWithIndex().map(lambda pair: (pair[1], *pair[0]))
-    return df.sparkSession.createDataFrame(numbered, schema)
+    placed = df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
+    before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = placed.join(F.broadcast(starts), "__part").withColumn(row_id, F.col("__start") + within)
+    return numbered.select(row_id, *df.columns)
 
 
 def required_prediction_columns(c: AuditColumns = DEFAULT) -> list[str]:
