@@ -52,12 +52,23 @@ def shared_dir(spark: SparkSession) -> str | None:
     return None
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
+def scratch_root(spark: SparkSession) -> str:
+    """This application's own folder below the shared folder."""
     base = shared_dir(spark)
     if base is None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return f"{base}/auditspark/{uuid.uuid4().hex}/{name}"
+    return f"{base}/auditspark/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the application's folder."""
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove what this application stored, once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

@@ -170,7 +170,17 @@ def p10_summary(spark, d):
     return scoring.token_summary(lengths)
 
 
-@query("p10_title_tokens")
+def _title_chat_sql() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    head, tail = prompts.TITLE_USER.split("{job_title}")
+    start = quoted("<|system|>\n" + prompts.TITLE_SYSTEM + "\n<|user|>\n" + head)
+    return f"concat({start}, job_title, {quoted(tail + chr(10) + '<|assistant|>' + chr(10))})"
+
+
+@query(
+    "p10_title_tokens",
+    rf"select job_title, cast(len(regexp_extract_all({_title_chat_sql()}, '[{WORD}]+|[^\s{WORD}]')) as bigint) as token_len from (select distinct p_name as job_title from part)",
+)
 def p10_titles(spark, d):
     lengths, _ = estimate_plan.title_token_lengths(table(spark, d, "part"), "p_name")
     return lengths
