@@ -173,6 +173,7 @@ def ols_hc3(
     # One row per absorbed level, holding its feature sums: at most as many as
     # there are features.
     levels = sums.groupBy(*level).agg(F.collect_list(F.struct("f", F.col("s").alias("x"))).alias("ss")).join(totals, level)
+    levels = materialize(levels, "levels")
 
     raw = cells.select(key, F.explode(_pairs(F.col("xs"), n)).alias("q")).select(key, "q.f", "q.g", "q.v")
     between = levels.select(key, F.explode(_pairs(F.col("ss"), F.lit(-1.0) / F.col("nb"))).alias("q")).select(key, "q.f", "q.g", "q.v")
@@ -205,6 +206,7 @@ def ols_hc3(
         F.aggregate("ms", zero, lambda acc, e: acc + F.get("v", e["i"]) * e["m"]).alias("c"),
         F.aggregate("ms", zero, lambda acc, e: acc + F.get("beta", e["i"]) * e["m"]).alias("mb"),
     )
+    means = materialize(means, "means")
     full = lookup_join(cells, means, level, "inner", [LABEL, *factors, *numerics])
     full = lookup_join(full, solved, [key], "inner", [absorb, LABEL, *factors, *numerics])
     full = full.withColumn("xi", F.transform("xs", lambda e: F.struct(index(e["f"]).alias("i"), e["x"].alias("x"))))

@@ -10,7 +10,7 @@ from ..functions.dist import p_correlation, p_greater, p_sign, p_two_sided, t_cr
 from ..functions.numeric import effect_size, significant, unit_hash
 from ..functions.text import model_family
 from ..session import materialize
-from .joins import lookup_join
+from .joins import fits_broadcast, lookup_join
 from .ranking import average_ranks, exact_medians
 
 
@@ -249,8 +249,12 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
     cells = both.groupBy(x, y).agg(F.count(F.lit(1)).alias("w"))
-    ranked = materialize(lookup_join(cells, average_ranks(both, x, "rx"), [x], "inner", [y]), "ranked")
-    ranked = lookup_join(ranked, average_ranks(both, y, "ry"), [y], "inner", [x])
+    # Stored rank tables have a known size: few distinct values are broadcast.
+    x_ranks, y_ranks = (materialize(average_ranks(both, v, n), n) for v, n in ((x, "rx"), (y, "ry")))
+    ranked = lookup_join(cells, x_ranks, [x], "inner", [y])
+    if not fits_broadcast(y_ranks):  # then the second join reads its left side twice
+        ranked = materialize(ranked, "ranked")
+    ranked = lookup_join(ranked, y_ranks, [y], "inner", [x])
     n = both.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     mid = (n + 1) / F.lit(2.0)
     dx, dy, w = F.col("rx") - mid, F.col("ry") - mid, F.col("w")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from ..columns import DEFAULT, DIFF_USD, IS_AI, LOG_RATIO, PCT_POINTS, RATIO, AuditColumns
 from ..functions.numeric import clip, parse_money, to_number
@@ -19,13 +20,25 @@ from ..sources.writers import ordered, write_table, write_tables
 
 
 def coerce(merged: DataFrame, c: AuditColumns = DEFAULT) -> DataFrame:
-    """Typed columns: money to numbers, flags to 0/1, confidence within [0, 1]."""
+    """Typed columns: money to numbers, flags to 0/1, confidence within [0, 1].
+
+    Only text columns are parsed; numbers and flags are taken as they are.
+    """
+
+    def number(name: str, parse) -> Column:
+        if isinstance(merged.schema[name].dataType, NumericType):
+            return F.nanvl(F.col(name).cast("double"), F.lit(None))
+        return parse(F.col(name))
+
+    flag = F.col(c.label)
+    if not isinstance(merged.schema[c.label].dataType, BooleanType):
+        flag = truthy(flag, TRUTHY_ANALYSIS)
     return merged.withColumns(
         {
-            c.actual: parse_money(F.col(c.actual)),
-            c.estimate: parse_money(F.col(c.estimate)),
-            c.confidence: clip(to_number(F.col(c.confidence)), 0.0, 1.0),
-            IS_AI: truthy(F.col(c.label), TRUTHY_ANALYSIS).cast("int"),
+            c.actual: number(c.actual, parse_money),
+            c.estimate: number(c.estimate, parse_money),
+            c.confidence: clip(number(c.confidence, to_number), 0.0, 1.0),
+            IS_AI: F.coalesce(flag, F.lit(False)).cast("int"),
             c.status: F.coalesce(F.col(c.status), F.lit("missing_parse_status")),
         }
     )

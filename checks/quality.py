@@ -16,8 +16,10 @@ from .scalars import answers
 
 
 def long_rows(spark, d):
-    """Parsed answers with metrics and a 0/1 label; parsed once and stored."""
-    rows = materialize(filters.parsed_rows(answers(spark, d), COLS), "parsed").withColumn(IS_AI, F.col("is_ai").cast("int"))
+    """Parsed answers with metrics and a 0/1 label. The answers are parsed once
+    and stored: a filter on the result would otherwise parse every text again."""
+    stored = materialize(answers(spark, d).drop("raw_output", "title", "positions"), "answers")
+    rows = filters.parsed_rows(stored, COLS).withColumn(IS_AI, F.col("is_ai").cast("int"))
     return metrics.with_metrics(rows, COLS)
 
 
@@ -27,8 +29,7 @@ def stored_rows(spark, d):
 
 
 def row_table(spark, d):
-    rows = filters.parsed_rows(answers(spark, d), COLS).withColumn(IS_AI, F.col("is_ai").cast("int"))
-    return metrics.row_averages(metrics.with_metrics(rows, COLS), COLS, ["block_id", "actual", "is_ai", IS_AI, "ai_confidence", "state", "segment"])
+    return metrics.row_averages(long_rows(spark, d), COLS, ["block_id", "actual", "is_ai", IS_AI, "ai_confidence", "state", "segment"])
 
 
 SCORES = """scores as (select job_key, max(ai_confidence) as score from
