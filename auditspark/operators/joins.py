@@ -67,9 +67,11 @@ def lookup_join(
     parts = shuffle_width(fact.sparkSession)
     heavy = F.broadcast(hot_keys(fact, on, parts).withColumn(_HOT, F.lit(True)))
     spread = spread_by or [c for c in fact.columns if c not in on] or on
+    scatter = F.coalesce(F.col(_HOT), F.lit(False))
+    for name in on:  # rows without a key match nothing: spread them as well
+        scatter = scatter | F.col(name).isNull()
     salted_fact = fact.join(heavy, on, "left").withColumn(
-        _SALT,
-        F.when(F.col(_HOT), F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int")).otherwise(F.lit(0)),
+        _SALT, F.when(scatter, F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int")).otherwise(F.lit(0))
     ).drop(_HOT)
     salted_dim = dim.join(heavy, on, "left").withColumn(
         _SALT,
@@ -101,10 +103,11 @@ def upsert(
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key, the least by ``order``: an aggregate with map-side
-    combine, so a key with many copies never gathers in one window."""
+    """One row per key, the least by ``order`` and then by all other columns: an
+    aggregate with map-side combine, so a key with many copies never gathers in
+    one window, and the choice does not depend on the layout."""
     rest = [c for c in df.columns if c not in keys]
-    ordering = F.struct(*[F.col(c) for c in order])
+    ordering = F.struct(*[F.col(c) for c in dict.fromkeys([*order, *rest])])
     picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), ordering).alias("__row"))
     return picked.select(*keys, "__row.*").select(*df.columns)
 
