@@ -51,6 +51,7 @@ def test_average_ranks(skewed):
 
 def test_salted_join_equals_plain(spark, skewed):
     dim = spark.createDataFrame([("hot", 1), ("g1", 2), ("nobody", 3)], "block string, x int")
+    skewed = skewed.withColumn("block", F.when(F.col("id") % 11 != 0, F.col("block")))  # and rows without a key
     for how in ("left", "inner"):
         plain = skewed.join(dim, ["block"], how).select("id", "x")
         salted = joins.lookup_join(skewed, dim, ["block"], how, ["id"], limit=0).select("id", "x")
