@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dist import p_shapiro
 from ..functions.numeric import norm_ppf
-from .joins import lookup_join
 from .ranking import _C, running_counts, value_counts
 
 RUN = 1 << 14

@@ -11,7 +11,7 @@ from auditspark.plans.fixtures import COLS, table
 from auditspark.session import materialize
 from auditspark.sources import readers
 
-from .registry import audit, n, query, r
+from .registry import audit, query, r
 from .scalars import answers
 
 

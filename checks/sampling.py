@@ -9,7 +9,7 @@ from auditspark.plans import fixtures as fx, sample as sample_plan
 from auditspark.plans.fixtures import COLS, table
 from auditspark.session import materialize
 
-from .registry import audit, n, query, r, u52
+from .registry import audit, query, r, u52
 from .scalars import LEVEL, STATUS, UNIT
 
 TITLE = "concat(case p_partkey % 14 when 0 then 'Senior AI Engineer ' when 1 then 'First aid ' when 2 then 'BI Intelligence ' when 3 then 'Lead, A.I. ' when 4 then 'MLOps-' when 5 then 'Data Scientist ' when 6 then 'machine  learning ' when 7 then 'Prompt Engineering/' when 8 then 'Email ML2 ' when 9 then 'HTML ' when 10 then 'LLMs for ' when 11 then 'Deep Learning_' when 12 then '(GenAI) ' else 'Neural Networks: ' end, p_name)"
@@ -115,14 +115,20 @@ def race_sql(weight: str, cap: int, target: int, seed: int, body: str) -> str:
 TARGET, CAP, SEED = 700, 10, 7
 
 
+def race(blocks, target, seed, mode, cap=0):
+    """Quotas for the target, or for all the blocks hold on the smallest tables."""
+    target = sampling.feasible_target(blocks, target, cap, allow_short=True)
+    return sampling.quota_race(blocks, target, seed, mode, cap)
+
+
 @query("m2_quota_race", race_sql("1 / sqrt(c)", CAP, TARGET, SEED, "select * from quotas"))
 def m2(spark, d):
-    return sampling.quota_race(eligible(spark, d), TARGET, SEED, "inverse_sqrt", CAP)
+    return race(eligible(spark, d), TARGET, SEED, "inverse_sqrt", CAP)
 
 
 @query("m2_quota_race_sqrt", race_sql("sqrt(c)", 1000000, 900, 11, "select * from quotas"))
 def m2_sqrt(spark, d):
-    return sampling.quota_race(eligible(spark, d), 900, 11, "sqrt")
+    return race(eligible(spark, d), 900, 11, "sqrt")
 
 
 def proportional_sql(weight: str, cap: int, target: int) -> str:
@@ -145,8 +151,8 @@ def m3(spark, d):
 
 def m_quotas(spark, d):
     blocks = eligible(spark, d)
-    race = sampling.quota_race(blocks, TARGET, SEED, "inverse_sqrt", CAP)
-    return materialize(race.join(blocks.select("block_id", "n_ai", "n_other"), "block_id"), "quotas")
+    quotas = race(blocks, TARGET, SEED, "inverse_sqrt", CAP)
+    return materialize(quotas.join(blocks.select("block_id", "n_ai", "n_other"), "block_id"), "quotas")
 
 
 DRAWN = f"""select row_id, block_id, is_ai from (select a.row_id, a.block_id, a.is_ai, quota,
@@ -208,7 +214,7 @@ M7 = f"""with audit_rows as (select o_orderkey as row_id, concat_ws('||', o_orde
 def m7(spark, d):
     raw = raw_filings(spark, d)
     titles = raw.where(F.trim("JOB_TITLE").rlike("^[15]-")).select(F.upper("JOB_TITLE").alias("title")).distinct()
-    out = sample_plan.sample_observations(raw, titles, 200, seed=2, max_per_block=8)
+    out = sample_plan.sample_observations(raw, titles, 200, seed=2, max_per_block=8, allow_short=True)
     return out["sample"].select("ROW_ID", "BLOCK_ID", "IS_AI")
 
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditspark.functions import parse, prompts
+from auditspark.functions import prompts
 from auditspark.operators import quality, scoring
 from auditspark.plans import estimate as estimate_plan, fixtures as fx
 from auditspark.plans.fixtures import COLS, table
 from auditspark.session import scratch_path
 
 from .quality import gappy, STATUSES
-from .registry import audit, n, query, r
+from .registry import audit, query, r
 from .scalars import _prompt_sql, answers, chats, prompt_rows
 
 

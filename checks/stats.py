@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditspark.columns import IS_AI
 from auditspark.functions import numeric
 from auditspark.operators import metrics, normality, regression, stat_tests, summaries
 from auditspark.plans import compare, fixtures as fx
@@ -12,7 +11,7 @@ from auditspark.plans.fixtures import COLS
 from auditspark.session import materialize
 
 from .quality import UPLIFTS, long_rows, row_table, stored_rows, uplifts
-from .registry import WELCH, audit, n, query, r, t_p, two_groups, u52
+from .registry import WELCH, audit, query, r, t_p, two_groups, u52
 
 
 def biased(spark, d):

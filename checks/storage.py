@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditspark.columns import DEFAULT
-from auditspark.operators import filters, labelling, sampling, scoring
+from auditspark.operators import filters, scoring
 from auditspark.plans import analysis, fixtures as fx
 from auditspark.plans.fixtures import COLS, table
 from auditspark.session import scratch_path
 from auditspark.sources import readers, writers
 
 from .quality import keyed_rows
-from .registry import audit, n, query, r
+from .registry import audit, query, r
 from .scalars import FLAG, answers
 
 TITLED = "concat(p_name, ', \"', p_brand, '\"')"

@@ -1,7 +1,6 @@
 """Every registered query against its SQL twin, value by value."""
 
 import math
-import os
 
 import duckdb
 import pytest
