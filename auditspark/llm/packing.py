@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import empty_if_null, per_process, store
 
@@ -61,9 +61,7 @@ class WordIds(dict):
         return b"".join([self[w] for w in words])
 
 
-PIECES = T.StructType.fromDDL(
-    "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, nth long"
-)
+PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth"]
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, window: int, end_id: int) -> DataFrame:
@@ -84,12 +82,14 @@ def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, wind
                     for column, value in zip(out, (doc, start, length, crc, total, part, seen[length])):
                         column.append(value)
                     seen[length] += 1
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            arrays = [pa.array(v, t) for v, t in zip(out, types)]
-            yield pa.RecordBatch.from_arrays(arrays, names=PIECES.names)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            arrays = [pa.array(v, t) for v, t in zip(out, kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, names=PIECES)
 
     rows = docs.select(F.col(id_col).cast("long").alias("d"), empty_if_null(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(cut, PIECES)
+    return rows.mapInArrow(
+        cut, "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, nth long"
+    )
 
 
 def fill(counts: dict[int, int], space: int) -> dict[int, int]:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, packing
+from . import bpe, packing, substring, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +34,27 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query(
+    "op10_warc",
+    """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html) as payload_bytes, sha1(html) as hexed from p),
+f as (select hexed, min(page_id) as first from d group by hexed)
+select page_id, cast(payload_bytes as bigint) as payload_bytes,
+ list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[cast(1 +
+  ((('0x' || substr(hexed || '00', cast(1 + (i * 5) // 4 as int), 2))::int >> cast(3 - (i * 5) % 4 as int)) & 31) as int)]),
+  'string_agg', '') as payload_digest,
+ case when page_id = first then 'response' else 'revisit' end as record_type,
+ case when page_id <> first then first end as refers_to
+from d join f using (hexed)""",
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
