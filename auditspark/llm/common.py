@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from auditspark.session import materialize, scratch_path
+from auditspark.session import materialize, scratch_path  # noqa: F401
 
 #: Text bytes that one task handles at a time.
 CHUNK_BYTES = 16 << 20
@@ -47,4 +48,27 @@ def chunks_for(df: DataFrame, text: str, size: int = CHUNK_BYTES) -> int:
     return max(8, -(-int(total) // size))
 
 
-__all__ = ["CHUNK_BYTES", "chunks_for", "empty_if_null", "per_process", "scratch_path", "store", "table"]
+def block_pairs(df: DataFrame, keys: list[str], spread_by: str, block: int) -> DataFrame:
+    """Give the rows of a group places in pairs of blocks (i <= j) of about
+    ``block`` rows: every two rows of a group meet in one pair or more, and no
+    task holds more than two blocks.  ``mine`` is the row's own block."""
+    sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64(spread_by), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    # A group of several blocks meets itself in the pairs of unequal blocks as well.
+    placed = df.join(sizes, keys).withColumn("mine", mine).withColumn("other", other)
+    return placed.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other", "blocks")
+
+
+def row_groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with equal first ``width`` columns, of sorted batches."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if row[:width] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:width], []
+            rows.append(row)
+    if rows:
+        yield key, rows

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .chunks import NO_ID, chunked, pack_sorted, unpack_sorted
-from .common import store
+from .common import block_pairs, row_groups, store
 from .components import components
 from .hashing import scramble, window_numbers, word_numbers
 
@@ -216,11 +216,7 @@ def links(sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
     entries = sets.select(F.explode("prefix0").alias("token"), "digest").distinct()
     buckets = entries.groupBy("token").agg(F.min("digest").alias("pivot"), F.count("*").alias("m")).where("m > 1")
     members = store(entries.join(buckets, "token").select("pivot", "digest").distinct(), "members")
-    sizes = members.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    placed = members.join(sizes, "pivot").withColumn("mine", mine).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    ).select("pivot", "digest", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    placed = block_pairs(members, ["pivot"], "digest", block)
     one = sets.groupBy("digest").agg(F.min("chunk").alias("chunk"))
     full = sets.join(one, ["digest", "chunk"]).select(
         "digest", "shingles", *[f"prefix{k}" for k in range(1, len(ORDERS))]
@@ -228,9 +224,7 @@ def links(sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
     width = len(ORDERS) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
+        for _, rows in row_groups(batches, 3):
             edges = compare(
                 [r[4] for r in rows], [np.frombuffer(r[5], "<u8") for r in rows],
                 [None, *([r[6 + k] for r in rows] for k in range(width))],
@@ -238,17 +232,9 @@ def links(sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
             ) if len(rows) > 1 else []
             if edges:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([e[0] for e in edges], pa.binary()), pa.array([e[1] for e in edges], pa.binary())], names=["a", "b"]
+                    [pa.array([e[k] for e in edges], pa.binary()) for k in (0, 1)], names=["a", "b"]
                 )
 
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if row[:3] != key:
-                    yield from done()
-                    key, rows = row[:3], []
-                rows.append(row)
-        yield from done()
-
     brought = placed.join(full, "digest").select(
         "pivot", "i", "j", "mine", "digest", "shingles", *[f"prefix{k}" for k in range(1, len(ORDERS))]
     )

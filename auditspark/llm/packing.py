@@ -18,8 +18,10 @@ same or no id are documents of their own.  An empty table gives no piece.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ from .common import empty_if_null, per_process, store
 WINDOW = 2048
 END_ID = 1
 CACHE_WORDS = 1 << 20
+ENDINGS = {b",", b"."}
 
 
 class WordIds(dict):
@@ -47,18 +50,26 @@ class WordIds(dict):
         self.tokenizer.encode_special_tokens = True
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
+        """Ids of new words, which are in ASCII lower case already.  A comma or
+        full stop after a letter or digit is a token of its own, so most words
+        with one need no encoding of their own."""
+        new = words - self.keys()
         if len(self) + len(new) > CACHE_WORDS:
             self.clear()
-            new = list(words)
-        if new:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            self.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        self.learn(set(words))
-        return b"".join([self[w] for w in words])
+            new = words
+        tailed = {w for w in new if w[-1:] in ENDINGS and w[-2:-1].isalnum()}
+        bare = ({w[:-1] for w in tailed} | ENDINGS | (new - tailed)) - self.keys() if new else ()
+        if bare:
+            bare = list(bare)
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in bare], add_special_tokens=False)
+            self.update(zip(bare, [array("I", e.ids).tobytes() for e in found]))
+        for w in tailed:
+            self[w] = self[w[:-1]] + self[w[-1:]]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.lower().split() for t in texts]
+        self.learn(set(chain.from_iterable(split)))
+        return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
 PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth"]
@@ -73,8 +84,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, wind
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.encode(text.as_buffer().to_pybytes()) + end
+            texts = [t.as_buffer().to_pybytes() for t in batch.column(1)]
+            for doc, ids in zip(batch.column(0).to_pylist(), words.encode(texts)):
+                ids += end
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     length = min(window, total - start)
@@ -165,7 +177,8 @@ def pack(
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    ranked = pieces.join(bases, ["length", "part"]).select(
+    # Both sides have a row for each task and length or more: neither is broadcast.
+    ranked = pieces.join(bases.hint("merge"), ["length", "part"]).select(
         "doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens",
         (F.col("base") + F.col("nth")).alias("rank"),
     )
