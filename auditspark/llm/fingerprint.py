@@ -117,13 +117,13 @@ def _fill(texts: list[str], out: np.ndarray) -> None:
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.asarray([len(texts[k]) for k in solid])
     names = scramble(codes.astype(np.uint64) + np.uint64(1))
-    kept_doc, kept_name = [], []
+    kept_doc, kept_name, done = [], [], np.zeros(len(solid), bool)
     for level, (names, starts) in enumerate(levels(names, np.cumsum(lengths) - lengths)):
         count = np.diff(starts, append=len(names))
-        if level >= FROM_LEVEL:
-            take = np.ones(len(names), bool)
-        else:  # of the levels below, texts that are one name already
-            take = np.repeat(count == 1, count)
+        # A text that became one name earlier goes on only beside the others.
+        use = ~done & ((count == 1) | (level >= FROM_LEVEL))
+        done |= count == 1
+        take = np.repeat(use, count)
         doc = np.repeat(np.arange(len(solid)), count)
         kept_doc.append(doc[take])
         kept_name.append(names[take])
