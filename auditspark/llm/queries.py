@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embeddings, fingerprint, jaccard, packing, substring, toxicity, warc
+from . import bpe, embeddings, fingerprint, html, jaccard, packing, substring, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_fingerprints")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op5_html_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
