@@ -10,26 +10,38 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import CHUNK_BYTES, store
 
 NO_ID = (1 << 63) - 1
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, size: int = CHUNK_BYTES) -> DataFrame:
-    """doc (null: largest of all), text as bytes (null: none), chunk."""
+def based(docs: DataFrame) -> DataFrame:
+    """The table itself if its rows have places in files, else a stored copy."""
     try:
         docs.select("_metadata.row_index").schema
     except AnalysisException:
-        docs = store(docs.select(id_col, text_col), "rows")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    total, n = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.count("*")).first()
+        return store(docs, "rows")
+    return docs
+
+
+def row_place() -> list[Column]:
+    """Columns f and r: file and row number, which name a row of a based table."""
+    return [F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")]
+
+
+def chunked(docs: DataFrame, id_col: str, text_col: str, *more: Column, size: int = CHUNK_BYTES) -> DataFrame:
+    """doc (null: largest of all), text as bytes (null: none), chunk and further
+    columns of a based table."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
+    total, n = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string"))), F.count("*")).first()
     rows = max(1, min(1 << 14, int(size * n // max(total or 0, 1)) if n else 1))
     return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
+        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc"),
         text.alias("text"),
         F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / rows)).alias("chunk"),
+        *more,
     )
 
 

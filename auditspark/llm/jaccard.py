@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import NO_ID, chunked, pack_sorted, unpack_sorted
+from .chunks import NO_ID, based, chunked, pack_sorted, row_place, unpack_sorted
 from .common import block_pairs, row_groups, store
 from .components import components
 from .hashing import scramble, window_numbers, word_numbers
@@ -121,7 +121,7 @@ def frequencies(rows: DataFrame, width: int, bits: int, groups: int) -> DataFram
 
 
 def described(rows: DataFrame, told: DataFrame, width: int, bits: int, num: int, den: int) -> DataFrame:
-    """A row for each document (doc, n, digest) and, once for each chunk, for each
+    """A row for each document (doc, n, digest, place) and, once for each chunk, for each
     set that may have a partner its shingles and its prefixes."""
     shift = np.uint64(64 - bits)
 
@@ -157,11 +157,11 @@ def described(rows: DataFrame, told: DataFrame, width: int, bits: int, num: int,
                 out[f"prefix{k}"].append(p.view(np.int64).tolist() if live[i] else None)
         table = {
             "doc": texts["doc"], "n": pa.array(s.n, pa.int64()), "digest": pa.array(s.digest, pa.binary()),
-            "chunk": texts["chunk"], "shingles": pa.array(out["shingles"], pa.binary()),
+            "chunk": texts["chunk"], "f": texts["f"], "r": texts["r"], "shingles": pa.array(out["shingles"], pa.binary()),
         }
         return pa.table(table | {k: pa.array(v, pa.list_(pa.int64())) for k, v in out.items() if k != "shingles"})
 
-    schema = "doc long, n long, digest binary, chunk long, shingles binary" + "".join(
+    schema = "doc long, n long, digest binary, chunk long, f long, r long, shingles binary" + "".join(
         f", prefix{k} array<long>" for k in range(len(ORDERS))
     )
     return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(describe, schema)
@@ -242,10 +242,9 @@ def links(sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
     return together.mapInArrow(run, "a binary, b binary")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
-         threshold: tuple[int, int] = (9, 10)) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
-    rows = chunked(docs, id_col, text_col)
+def grouped(rows: DataFrame, width: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """The sets of all documents (doc, n, digest, place f and r) and, by digest, the
+    component's root and smallest id."""
     shingles = max(1, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6)
     bits = min(64, shingles.bit_length() + SPARE_BITS)
     groups = max(0, (shingles // GROUP_KEYS).bit_length())
@@ -257,10 +256,32 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     rooted = classes.join(found.withColumnRenamed("node", "digest"), "digest", "left").select(
         "digest", "least", F.coalesce("root", "digest").alias("root")
     )
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("digest", "component")
-    out = known.select("doc", "n", "digest").join(named, "digest", "left")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root")
+    return known.select("doc", "n", "digest", "f", "r"), named.select("digest", "root", "component")
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
+         threshold: tuple[int, int] = (9, 10)) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    known, named = grouped(chunked(based(docs), id_col, text_col, *row_place()), width, threshold)
+    out = known.join(named, "digest", "left")
     null_if_none = lambda c: F.when(c != NO_ID, c)
     return out.select(
         null_if_none(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"),
         null_if_none(F.coalesce("component", "doc")).alias("component_id"),
     )
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
+                    threshold: tuple[int, int] = (9, 10)) -> DataFrame:
+    """One row of each component, all columns kept: that with the smallest id, of
+    several the first by place.  Documents without a shingle are components of
+    their own and all stay."""
+    docs = based(docs)
+    known, named = grouped(chunked(docs, id_col, text_col, *row_place()), width, threshold)
+    linked = known.where("n > 0").join(named, "digest")
+    first = linked.groupBy("root").agg(F.min(F.struct("doc", "f", "r")).alias("p")).select("p.f", "p.r")
+    kept = first.unionByName(known.where("n = 0").select("f", "r"))
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], *row_place())
+    return rows.join(kept, ["f", "r"], "left_semi").select(*names).toDF(*docs.columns)

@@ -202,8 +202,8 @@ def scan(docs: DataFrame, model: tuple[list, str] | None = None, id_col: str = "
 
 
 def redacted(docs: DataFrame, model: tuple[list, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns, with the findings in texts masked."""
+    """All rows and columns, with the findings in texts masked; null texts stay null."""
     model = model or fit(docs, id_col, text_col)
     text = F.col(f"`{text_col}`").cast("string")
     masked = F.aggregate(findings(text, model), text, lambda t, s: F.replace(t, s["secret"], F.lit(MASK)))
-    return docs.withColumn(text_col, masked)
+    return docs.withColumn(text_col, F.when(text.isNotNull(), masked))

@@ -31,8 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import NO_ID, chunked, lookup, pack, pack_sorted, unpack, unpack_sorted
-from .common import store
+from .chunks import NO_ID, based, chunked, lookup, pack, pack_sorted, unpack, unpack_sorted
 from .hashing import window_numbers, word_numbers
 
 WIDTH = 13
@@ -206,32 +205,57 @@ def marked_words(docs, texts, told: pa.Table, width: int, group: np.ndarray, bit
     return s, np.cumsum(cover)[:-1] > 0
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
-          limit: int = GROUP_SUFFIXES) -> DataFrame:
-    """doc_id, n_words, n_removed and the kept words joined by one blank."""
-    rows = chunked(docs, id_col, text_col)
+def _cut(rows: DataFrame, width: int, limit: int) -> DataFrame:
+    """doc, n_words, n_removed, kept (words joined by one blank) and the further
+    columns of ``rows``."""
     group, bits = groups_of(census(rows, width), limit)
-    told = store(repeats(rows, width, group, bits), "repeats")
+    told = repeats(rows.select("doc", "text", "chunk"), width, group, bits)
+    more = [f for f in rows.schema.fields if f.name not in ("doc", "text", "chunk")]
 
     def cut(texts: pa.Table, told: pa.Table) -> pa.Table:
-        docs, data, _ = _sorted_docs(texts["doc"].to_pylist(), [t.as_buffer().to_pybytes() for t in texts["text"]])
+        raw = [t.as_buffer().to_pybytes() for t in texts["text"]]
+        docs, data, order = _sorted_docs(texts["doc"].to_pylist(), raw)
         s, gone = marked_words(docs, data, told, width, group, bits)
         removed, kept = [], []
         for text, a, b in zip(data, s.ends - s.counts, s.ends):
-            words = text.split()
             drop = gone[a:b]
+            words = text.split()
             if drop.any():
                 words = [w for w, d in zip(words, drop.tolist()) if not d]
             removed.append(int(drop.sum()))
             kept.append(b" ".join(words).decode())
-        return pa.table({
-            "doc_id": pa.array([None if d == NO_ID else d for d in docs], pa.int64()),
-            "n_words": pa.array(s.counts, pa.int64()),
-            "n_removed": pa.array(removed, pa.int64()),
-            "kept": pa.array(kept, pa.string()),
-        })
-
-    return (
-        rows.groupBy("chunk").cogroup(told.groupBy("chunk"))
-        .applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+        out = {
+            "doc": pa.array(docs, pa.int64()), "n_words": pa.array(s.counts, pa.int64()),
+            "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string()),
+        }
+        return pa.table(out | {f.name: texts[f.name].take(pa.array(order)) for f in more})
+
+    schema = "doc long, n_words long, n_removed long, kept string" + "".join(
+        f", `{f.name}` {f.dataType.simpleString()}" for f in more
     )
+    return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(cut, schema)
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
+          limit: int = GROUP_SUFFIXES) -> DataFrame:
+    """doc_id, n_words, n_removed and the kept words joined by one blank."""
+    found = _cut(chunked(based(docs), id_col, text_col), width, limit)
+    return found.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars",
+                    width: int = WIDTH, limit: int = GROUP_SUFFIXES) -> DataFrame:
+    """All rows and columns; texts that lose words are their kept words joined by
+    one blank, all others stay as they are.  ``chars_col`` follows, if it is there."""
+    docs = based(docs)
+    carried = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    found = _cut(chunked(docs, id_col, text_col, *carried), width, limit)
+    changed = F.col("n_removed") > 0
+    new = {text_col: F.col("kept"), chars_col: F.length("kept")}
+    out = []
+    for k, field in enumerate(docs.schema.fields):
+        column = F.col(f"c{k}")
+        if field.name in new:
+            column = F.when(changed, new[field.name].cast(field.dataType)).otherwise(column)
+        out.append(column.alias(field.name))
+    return found.select(*out)
