@@ -17,6 +17,8 @@ COMPLETED = (
     "malformed",
 )
 OK_LEGACY = "ok_legacy_missing_parse_status"
+# Status codes whose number enters the analysis (fixed values).
+PARSE_OK = ("ok", OK_LEGACY)
 INFERENCE_ERROR = "inference_error"
 LOW, HIGH = 20_000, 1_000_000
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..columns import DEFAULT, AuditColumns
-from ..functions.parse import COMPLETED, OK_LEGACY
+from ..functions.parse import PARSE_OK
 from ..functions.text import same_unit
 
 
@@ -43,8 +43,8 @@ def require_none(df: DataFrame, rules: dict[str, Column], show: list[str], examp
 
 
 def is_parsed(c: AuditColumns = DEFAULT) -> Column:
-    """The answer was processed and gave a number."""
-    return F.coalesce(F.col(c.status).isin(*COMPLETED, OK_LEGACY), F.lit(False)) & F.col(c.estimate).isNotNull()
+    """The answer was parsed as one plausible number."""
+    return F.coalesce(F.col(c.status).isin(*PARSE_OK), F.lit(False)) & F.col(c.estimate).isNotNull()
 
 
 def eligibility_steps(

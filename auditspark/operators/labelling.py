@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..columns import DEFAULT, AuditColumns
 from ..functions.prompts import title_messages
-from ..functions.text import norm_title, sampling_block
+from ..functions.text import norm_title, sampling_block, strip
 from .joins import lookup_join
 from .scoring import score
 
@@ -59,7 +59,7 @@ def classify_titles(titles: DataFrame, scorer_factory, title: str = "job_title")
     """One model question for each distinct title; only an exact Yes counts."""
     asked = titles.select(title).dropna().distinct().withColumn("messages", title_messages(F.col(title)))
     answered = score(asked, scorer_factory, [title])
-    return answered.select(title, F.coalesce(F.trim("output") == "Yes", F.lit(False)).alias("AI_job"), "error")
+    return answered.select(title, F.coalesce(strip(F.col("output")) == "Yes", F.lit(False)).alias("AI_job"), "error")
 
 
 def with_block(df: DataFrame, c: AuditColumns = DEFAULT) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..columns import DEFAULT, AuditColumns
-from ..functions.parse import COMPLETED, OK_LEGACY
+from ..functions.parse import COMPLETED, PARSE_OK
 from ..functions.text import model_family
 
 
@@ -26,7 +26,7 @@ def raw_output_qc(df: DataFrame, c: AuditColumns = DEFAULT) -> DataFrame:
     Aggregated to (model, row) first, so the distinct count needs no second
     copy of the rows and a model with most of the data spreads over all tasks.
     """
-    ok = F.coalesce(F.col(c.status).isin(*COMPLETED, OK_LEGACY), F.lit(False))
+    ok = F.coalesce(F.col(c.status).isin(*PARSE_OK), F.lit(False))
     per_row = df.groupBy(c.model, c.row_id).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("ok"), F.count_if(F.col(c.estimate).isNull()).alias("miss")
     )
@@ -54,20 +54,23 @@ def fingerprint_parts(row_id: Column, prediction: Column) -> tuple[Column, Colum
 def prediction_vector_qc(df: DataFrame, c: AuditColumns = DEFAULT) -> DataFrame:
     """An order-free fingerprint of each model's predictions, with their spread.
 
-    The fingerprint is the xor and the count of per-row digests: it combines in
-    partial aggregates and never gathers a model's vector. Predictions are
+    The fingerprint is the count and the sums of two digests per row: it combines
+    in partial aggregates, never gathers a model's vector, and repeated rows count
+    as often as they occur. Predictions are
     counted per (model, prediction) first for the distinct count.
     """
     est = F.col(c.estimate).cast("double")
     high, low = fingerprint_parts(F.col(c.row_id), F.bround(est, 0).cast("bigint"))
     per_value = df.groupBy(c.model, c.estimate).agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(high).alias("h"), F.bit_xor(low).alias("l")
+        F.count(F.lit(1)).alias("n"),
+        F.sum(high.cast("decimal(20,0)")).alias("h"),
+        F.sum(low.cast("decimal(20,0)")).alias("l"),
     )
     values = per_value.groupBy(c.model).agg(
         model_family(F.first(F.col(c.model).cast("string"))).alias("model_family"),
         F.sum("n").alias("n_rows"),
-        F.bit_xor("h").alias("__h"),
-        F.bit_xor("l").alias("__l"),
+        F.sum("h").alias("__h"),
+        F.sum("l").alias("__l"),
         F.count(c.estimate).alias("n_unique_predicted_salaries"),
         F.min(F.col(c.estimate).cast("double")).alias("min_predicted_salary_usd"),
         F.max(F.col(c.estimate).cast("double")).alias("max_predicted_salary_usd"),

@@ -212,16 +212,20 @@ def cohort_label_welch(
 
 
 def paired_welch(df: DataFrame, c: AuditColumns = DEFAULT) -> DataFrame:
-    """Label groups compared on row means over all models of each cohort."""
+    """Label groups compared on row means over all models of each cohort; rows that
+    lack a model or have two answers of one are left out."""
     per_cohort = df.select(c.cohort, c.model).distinct().groupBy(c.cohort).agg(F.count(F.lit(1)).alias("__models"))
     est = F.col(c.estimate).cast("double")
     per_row = df.groupBy(c.cohort, c.row_id).agg(
         F.count(F.lit(1)).alias("__n"),
+        F.count_distinct(c.model).alias("__m"),
         F.avg(est).alias("mean_estimate"),
         F.max(c.actual).alias(c.actual),
         F.max(c.label).alias(c.label),
     )
-    whole = lookup_join(per_row, per_cohort, [c.cohort], "inner", [c.row_id]).where(F.col("__n") == F.col("__models"))
+    whole = lookup_join(per_row, per_cohort, [c.cohort], "inner", [c.row_id]).where(
+        (F.col("__m") == F.col("__models")) & (F.col("__n") == F.col("__m"))
+    )
     spb = F.try_divide(F.col("mean_estimate") - F.col(c.actual), F.col(c.actual)) * F.lit(100.0)
     return welch_by(whole.withColumn("spb", spb), [c.cohort], "spb", F.col(c.label))
 

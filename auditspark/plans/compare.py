@@ -41,6 +41,7 @@ def compare_cohorts(
 ) -> dict[str, DataFrame]:
     """Closed against open on model-level uplifts (one row per model)."""
     uplifts = materialize(model_uplift(with_spb(df, c, min_actual, cap), [c.cohort, c.model], c), "uplifts")
+    uplifts = uplifts.where(F.col(c.cohort).isin(first, second))  # every test sees the same two cohorts
     null = permutation_null(uplifts, n_permutations, seed, first, c)
     return {
         "uplifts": uplifts,

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..columns import AuditColumns
-from ..sources.readers import spread
 
 N_MODELS = 6
 
@@ -23,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spread(table(spark, sf_dir, "orders").where(F.col("o_totalprice") >= 20000), "o_orderkey")
+    orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
     key, nation = F.col("o_orderkey"), F.col("c_nationkey").cast("string")
     is_ai = F.col("o_orderpriority") == "1-URGENT"

@@ -75,11 +75,9 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut the lineage of a table that several outputs read.
 
     Written as Parquet in the shared folder, so later readers prune columns and
-    a lost executor costs no recomputation. Without a shared folder the plan is
-    returned as it is.
+    a lost executor costs no recomputation. A cluster without a shared folder is
+    an error: behaviour never depends on the setting.
     """
-    if shared_dir(df.sparkSession) is None:
-        return df
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +13,7 @@ from ..functions.text import (
     TRUTHY_LABEL_FILE, analysis_block, job_key, model_family, norm_title, slug_from_path, strip, truthy,
 )
 from ..operators.filters import require_columns, require_empty, require_min_models
-from ..operators.joins import estimated_bytes, first_per_key, left_join_renamed, lookup_join
+from ..operators.joins import first_per_key, left_join_renamed, lookup_join
 from ..operators.quality import duplicate_rows
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
@@ -36,18 +37,6 @@ def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = Tru
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core on an input kept in fewer files than there are cores.
-
-    A table whose scan has the tasks already (by files or by 128 MB splits) is
-    returned as it is, so only small tables are ever moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores or estimated_bytes(df) >= cores * (128 << 20):
-        return df
-    return df.repartition(cores, *keys)
-
-
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """One stripped title per line; every line counts."""
     return spark.read.text(path).select(strip(F.col("value")).alias("job_title"))
@@ -105,6 +94,11 @@ def required_prediction_columns(c: AuditColumns = DEFAULT) -> list[str]:
     return [c.row_id, c.actual, c.estimate, c.label]
 
 
+def plain_path(uri: Column) -> Column:
+    """A file's path as it was written, from its escaped URI."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def tag_predictions(df: DataFrame, path: Column, c: AuditColumns = DEFAULT) -> DataFrame:
     """Add model, family and source, and fill the columns old files lack."""
     df = df.withColumn(c.source, path).withColumn(c.model, slug_from_path(F.col(c.source)))
@@ -144,7 +138,7 @@ def scan_predictions(
             if missing:
                 raise ValueError(f"{path} is missing required columns: {sorted(missing)}")
             layouts.setdefault(names, []).append(path)
-        except Exception:
+        except (ValueError, AnalysisException, ParseException):  # no access or network errors
             if not skip_unusable:
                 raise
             skipped.append(path)
@@ -156,7 +150,7 @@ def scan_predictions(
             df = spark.read.parquet(*files)
         else:
             df = spark.read.options(**CSV_OPTIONS).csv(files)
-        parts.append(tag_predictions(df.withColumn("__path", F.col("_metadata.file_path")), F.col("__path"), c).drop("__path"))
+        parts.append(tag_predictions(df.withColumn("__path", plain_path(F.col("_metadata.file_path"))), F.col("__path"), c).drop("__path"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)

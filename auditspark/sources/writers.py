@@ -19,7 +19,7 @@ def write_table(df: DataFrame, path: str, formats: tuple[str, ...] = ("parquet",
     """Write to ``path.<format>`` for each format; typed columns need no casts."""
     written = []
     for fmt in formats:
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         target = f"{path}.{fmt}"

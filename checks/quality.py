@@ -270,8 +270,8 @@ def a1(spark, d):
     "a2_raw_output_qc",
     audit(
         f"""select model_id, 'Other' as model_family, count(*) as n_rows, count(distinct row_id) as n_unique_rows,
-     count(*) filter (status in ('ok','empty','no_number','multiple_numbers_or_range','out_of_plausible_range','malformed')) as parse_ok_rows,
-     {r("avg(case when status is not null then 1.0 else 0.0 end)", 'parse_ok_rate')}, count(*) filter (value is null) as missing_prediction_rows
+     count(*) filter (status in ('ok', 'ok_legacy_missing_parse_status')) as parse_ok_rows,
+     {r("avg(case when status in ('ok', 'ok_legacy_missing_parse_status') then 1.0 else 0.0 end)", 'parse_ok_rate')}, count(*) filter (value is null) as missing_prediction_rows
      from (select * exclude (status), {STATUSES} as status from answers) group by model_id""",
         parsed=True,
     ),
@@ -289,7 +289,7 @@ def a3(spark, d):
 
 
 def _part(at: int) -> str:
-    return f"bit_xor(('0x' || substr(md5(concat_ws(':', row_id, est)), {at}, 13))::bigint)"
+    return f"sum(('0x' || substr(md5(concat_ws(':', row_id, est)), {at}, 13))::bigint)"
 
 
 @query(

@@ -60,7 +60,7 @@ audit_rows as (
   case when o_orderpriority = '1-URGENT' then cast(80 + o_orderkey % 20 as double)
        else cast(o_orderkey % 30 as double) end / 100 as ai_confidence,
   o_totalprice as actual
- from orders join customer on o_custkey = c_custkey where o_totalprice >= 20000),
+ from orders join customer on o_custkey = c_custkey),
 predictions as (
  select v.m as model_id, case when v.m < 4 then 'open' else 'closed' end as cohort, a.*,
   cast(round(actual * (cast(80 as double)/100

@@ -19,6 +19,12 @@ def _pattern() -> str:
     return r"(?i)(?:^|[^a-z0-9_])(?:" + "|".join(labelling.AI_TERMS) + r")(?:$|[^a-z0-9_])"
 
 
+def in_order(df):
+    """Each row of a sorted table with its place (from 1), as the rows come out."""
+    numbered = df.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1] + 1))
+    return df.sparkSession.createDataFrame(numbered, df.schema.add("place", "long"))
+
+
 def yes_scorer():
     """Stand-in model: Yes for titles with an even number of characters."""
 
@@ -26,7 +32,7 @@ def yes_scorer():
         out = []
         for chat in chats:
             title = chat[1]["content"].split("'")[1]
-            out.append(" Yes\n".strip() if len(title) % 2 == 0 else "Yes, probably")
+            out.append(" Yes\n" if len(title) % 2 == 0 else "Yes, probably")
         return out
 
     return answer
@@ -170,9 +176,9 @@ def m4_salted(spark, d):
     return sampling.sample_within_blocks(fx.audit_rows(spark, d), m_quotas(spark, d), 3, COLS, limit=0).select("row_id", "block_id", "is_ai")
 
 
-@query("m5_seeded_order", f"select o_orderkey, o_totalprice from orders order by {u52(chr(39).join(['concat_ws(', '|', ', ', '5', ', ', 'order', ', o_orderkey)']))}, o_orderkey")
+@query("m5_seeded_order", f"select o_orderkey, o_totalprice, row_number() over (order by {u52(chr(39).join(['concat_ws(', '|', ', ', '5', ', ', 'order', ', o_orderkey)']))}, o_orderkey) as place from orders")
 def m5(spark, d):
-    return sampling.shuffled(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 5, "o_orderkey")
+    return in_order(sampling.shuffled(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 5, "o_orderkey"))
 
 
 @query("m6_balance_audit", audit("select block_id, count(*) filter (is_ai) as n_ai, count(*) filter (not is_ai) as n_other from audit_rows group by block_id having count(*) filter (is_ai) <> count(*) filter (not is_ai)"))
@@ -236,13 +242,13 @@ def w2(spark, d):
     return ranking.average_ranks(table(spark, d, "lineitem"), "l_extendedprice", "avg_rank")
 
 
-@query("w3_sorted_status", audit("select model_id, status, count(*) as n_rows from answers group by all order by model_id, status", parsed=True))
+@query("w3_sorted_status", audit("select model_id, status, n_rows, row_number() over (order by model_id, status) as place from (select model_id, status, count(*) as n_rows from answers group by all)", parsed=True))
 def w3(spark, d):
     from auditspark.operators.quality import status_counts
 
     from .scalars import answers
 
-    return status_counts(answers(spark, d), COLS).orderBy("model_id", "status")
+    return in_order(status_counts(answers(spark, d), COLS).orderBy("model_id", "status"))
 
 
 @query("w4_top_examples", audit("select model_id, row_id, est from predictions order by est desc, model_id, row_id limit 10"))

@@ -236,7 +236,7 @@ def t9_t10(spark, d):
     return stat_tests.confidence_correlation(stored_rows(spark, d), COLS)
 
 
-N_PERM = 2000
+N_PERM = 10_000
 
 
 @query(

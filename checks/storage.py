@@ -157,7 +157,9 @@ def s12(spark, d):
 
 @query("s13_row_ids", "select p_partkey, p_partkey - 1 + (select 1 - min(p_partkey) from part) as \"ROW_ID\" from part")
 def s13(spark, d):
-    return readers.with_row_id(table(spark, d, "part").select("p_partkey").coalesce(1).sortWithinPartitions("p_partkey")).select("p_partkey", "ROW_ID")
+    ordered = table(spark, d, "part").select("p_partkey").repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey")
+    fixed = spark.createDataFrame(ordered.rdd, ordered.schema)  # one layout, however often it is read
+    return readers.with_row_id(fixed).select("p_partkey", "ROW_ID")
 
 
 # Sinks -------------------------------------------------------------------------

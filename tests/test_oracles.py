@@ -1,6 +1,7 @@
 """Every registered query against its SQL twin, value by value."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -46,4 +47,4 @@ def test_every_oracle_has_a_query():
 
 
 def test_oracles_are_single_statements():
-    assert all(";" not in sql for sql in all_oracles().values())
+    assert all(";" not in re.sub(r"'(?:[^']|'')*'", "", sql) for sql in all_oracles().values())
