@@ -187,7 +187,7 @@ def encode_decode(
     """Ids of every whole text and the bytes decoded from them, as digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = per_process(("bpe", ranks_path, pattern), lambda: Codec(load_ranks(ranks_path), pattern))
+        codec = per_process(("bpe", ranks_path, pattern), lambda: Codec(load_ranks(ranks_path), pattern), large=True)
         for batch in batches:
             rows = [codec.text(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -210,7 +210,7 @@ def encode_ids(
     """The ids themselves: doc_id and an array of numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = per_process(("bpe", ranks_path, pattern), lambda: Codec(load_ranks(ranks_path), pattern))
+        codec = per_process(("bpe", ranks_path, pattern), lambda: Codec(load_ranks(ranks_path), pattern), large=True)
         for batch in batches:
             ids = [[int(i) for i in codec.text(t)[1].split()] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])

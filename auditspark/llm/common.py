@@ -25,15 +25,20 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
-def per_process(key: Hashable, make: Callable[[], object]) -> object:
+def per_process(key: Hashable, make: Callable[[], object], large: bool = False) -> object:
     """A value made once in each Python worker: tokenizers and word caches.
 
     Functions travel to tasks by value, so their own globals start anew with
-    every task; this holder is kept by the interpreter.
+    every task; this holder is kept by the interpreter.  Of the large values a
+    worker keeps only the last, whichever operator ran before.
     """
     holder = sys.modules.setdefault("_auditspark_llm_cache", types.ModuleType("_auditspark_llm_cache"))
     values = holder.__dict__.setdefault("values", {})
+    key = ("large" if large else "small", key)
     if key not in values:
+        if large:
+            for other in [k for k in values if k[0] == "large"]:
+                del values[other]
         values[key] = make()
     return values[key]
 

@@ -32,7 +32,9 @@ from .common import empty_if_null, per_process, store
 
 WINDOW = 2048
 END_ID = 1
-CACHE_WORDS = 1 << 20
+#: Words whose ids a worker remembers (about 200 bytes each), and text split at a time.
+CACHE_WORDS = 600_000
+SLICE_BYTES = 1 << 20
 ENDINGS = {b",", b"."}
 
 
@@ -66,6 +68,17 @@ class WordIds(dict):
         for w in tailed:
             self[w] = self[w[:-1]] + self[w[-1:]]
 
+    def encode_all(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Slices of about a megabyte, so that few words exist at a time."""
+        at = 0
+        while at < len(texts):
+            upto, size = at, 0
+            while upto < len(texts) and (upto == at or size + len(texts[upto]) < SLICE_BYTES):
+                size += len(texts[upto])
+                upto += 1
+            yield from self.encode(texts[at:upto])
+            at = upto
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.lower().split() for t in texts]
         self.learn(set(chain.from_iterable(split)))
@@ -79,13 +92,13 @@ def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, wind
     """Tokenize whole texts and cut them into windows and a remainder each."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = per_process(("word ids", tokenizer), lambda: WordIds(tokenizer))
+        words = per_process(("word ids", tokenizer), lambda: WordIds(tokenizer), large=True)
         end = np.asarray([end_id], "<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             texts = [t.as_buffer().to_pybytes() for t in batch.column(1)]
-            for doc, ids in zip(batch.column(0).to_pylist(), words.encode(texts)):
+            for doc, ids in zip(batch.column(0).to_pylist(), words.encode_all(texts)):
                 ids += end
                 total = len(ids) // 4
                 for start in range(0, total, window):

@@ -42,7 +42,7 @@ TOXIC_BYTES = 12 << 10
 MIN_ODDS = 20.0
 MIN_DOCS = 3
 MIN_STEM, MAX_STEM = 4, 9
-CACHE_WORDS = 1 << 21
+CACHE_WORDS = 1 << 20
 LEVEL, MIN_MATCH = 16, 3
 
 
@@ -114,7 +114,7 @@ def measured(rows: DataFrame, model: Model) -> DataFrame:
     keep = [c for c in rows.columns if c != "t"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gains = per_process(("toxicity", model.key), lambda: Gains(model))
+        gains = per_process(("toxicity", model.key), lambda: Gains(model), large=True)
         for batch in batches:
             found = [
                 features(list(map(gains.__getitem__, t.as_buffer().to_pybytes().lower().split())))
