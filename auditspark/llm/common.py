@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from auditspark.session import materialize, scratch_path  # noqa: F401
 
 #: Text bytes that one task handles at a time.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,14 @@ def per_process(key: Hashable, make: Callable[[], object], large: bool = False)
     return values[key]
 
 
+def release() -> None:
+    """Drop the large value that an earlier stage may have left in this worker."""
+    holder = sys.modules.get("_auditspark_llm_cache")
+    values = holder.__dict__.get("values", {}) if holder else {}
+    for key in [k for k in values if k[0] == "large"]:
+        del values[key]
+
+
 def empty_if_null(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .chunks import NO_ID, based, chunked, pack_sorted, row_place, unpack_sorted
-from .common import block_pairs, row_groups, store
+from .common import block_pairs, release, row_groups, store
 from .components import components
 from .hashing import scramble, window_numbers, word_numbers
 
@@ -91,6 +91,7 @@ def frequencies(rows: DataFrame, width: int, bits: int, groups: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["grp", "chunk", "keys", "counts"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         chunk, texts = None, []
         for batch in batches:
             for t, c in zip(batch.column(0), batch.column(1).to_pylist()):
@@ -126,6 +127,7 @@ def described(rows: DataFrame, told: DataFrame, width: int, bits: int, num: int,
     shift = np.uint64(64 - bits)
 
     def describe(texts: pa.Table, told: pa.Table) -> pa.Table:
+        release()
         s = Sets([t.as_buffer().to_pybytes() for t in texts["text"]], width)
         rank = np.zeros(len(s.number), np.uint8)
         if told.num_rows and len(rank):

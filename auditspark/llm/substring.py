@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .chunks import NO_ID, based, chunked, lookup, pack, pack_sorted, unpack, unpack_sorted
+from .common import release
 from .hashing import window_numbers, word_numbers
 
 WIDTH = 13
@@ -61,6 +62,7 @@ def census(rows: DataFrame, width: int) -> np.ndarray:
     prefixes = [p for p in PREFIXES if p < width]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total = np.zeros((len(prefixes) + 1, 1 << CELL_BITS), np.int64)
         for batch in batches:
             s = Suffixes([t.as_buffer().to_pybytes() for t in batch.column(0)], width)
@@ -140,6 +142,7 @@ def repeats(rows: DataFrame, width: int, group: np.ndarray, bits: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=names)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         chunk, docs, texts = None, [], []
         for batch in batches:
             for d, t, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
@@ -213,6 +216,7 @@ def _cut(rows: DataFrame, width: int, limit: int) -> DataFrame:
     more = [f for f in rows.schema.fields if f.name not in ("doc", "text", "chunk")]
 
     def cut(texts: pa.Table, told: pa.Table) -> pa.Table:
+        release()
         raw = [t.as_buffer().to_pybytes() for t in texts["text"]]
         docs, data, order = _sorted_docs(texts["doc"].to_pylist(), raw)
         s, gone = marked_words(docs, data, told, width, group, bits)

@@ -42,7 +42,7 @@ TOXIC_BYTES = 12 << 10
 MIN_ODDS = 20.0
 MIN_DOCS = 3
 MIN_STEM, MAX_STEM = 4, 9
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 500_000
 LEVEL, MIN_MATCH = 16, 3
 
 
