@@ -43,6 +43,18 @@ def per_process(key: Hashable, make: Callable[[], object], large: bool = False)
     return values[key]
 
 
+def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring items of at most ``most`` bytes, or one larger item."""
+    at = 0
+    while at < len(sizes):
+        upto, size = at, 0
+        while upto < len(sizes) and (upto == at or size + sizes[upto] <= most):
+            size += sizes[upto]
+            upto += 1
+        yield at, upto
+        at = upto
+
+
 def release() -> None:
     """Drop the large value that an earlier stage may have left in this worker."""
     holder = sys.modules.get("_auditspark_llm_cache")

@@ -37,7 +37,7 @@ from .hashing import scramble, window_numbers, word_numbers
 #: Key bits beyond those of the number of shingles: false repeats are 1 in 2**17.
 SPARE_BITS = 17
 GROUP_KEYS = 1 << 20
-BLOCK = 2048
+BLOCK = 512
 ORDERS = ((True, 0x51), (True, 0xA7), (False, 0x3D))
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import empty_if_null, per_process, store
+from .common import empty_if_null, per_process, slices, store
 
 WINDOW = 2048
 END_ID = 1
@@ -70,14 +70,8 @@ class WordIds(dict):
 
     def encode_all(self, texts: list[bytes]) -> Iterator[bytes]:
         """Slices of about a megabyte, so that few words exist at a time."""
-        at = 0
-        while at < len(texts):
-            upto, size = at, 0
-            while upto < len(texts) and (upto == at or size + len(texts[upto]) < SLICE_BYTES):
-                size += len(texts[upto])
-                upto += 1
-            yield from self.encode(texts[at:upto])
-            at = upto
+        for a, b in slices([len(t) for t in texts], SLICE_BYTES):
+            yield from self.encode(texts[a:b])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.lower().split() for t in texts]

@@ -32,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .chunks import NO_ID, based, chunked, lookup, pack, pack_sorted, unpack, unpack_sorted
-from .common import release
+from .common import release, slices
 from .hashing import window_numbers, word_numbers
 
 WIDTH = 13
 PREFIXES = (1, 2, 4)
 CELL_BITS = 12
+#: Text bytes that the census takes at a time.
+CENSUS_BYTES = 2 << 20
 #: Suffixes whose subtree one group holds (about 60 bytes each while it is built).
 GROUP_SUFFIXES = 1 << 20
 
@@ -65,10 +67,12 @@ def census(rows: DataFrame, width: int) -> np.ndarray:
         release()
         total = np.zeros((len(prefixes) + 1, 1 << CELL_BITS), np.int64)
         for batch in batches:
-            s = Suffixes([t.as_buffer().to_pybytes() for t in batch.column(0)], width)
-            for level, p in enumerate(prefixes):
-                total[level] += np.bincount(s.cells(p), minlength=1 << CELL_BITS)
-            total[-1, 0] += len(s.at)
+            texts = [t.as_buffer().to_pybytes() for t in batch.column(0)]
+            for a, b in slices([len(t) for t in texts], CENSUS_BYTES):
+                s = Suffixes(texts[a:b], width)
+                for level, p in enumerate(prefixes):
+                    total[level] += np.bincount(s.cells(p), minlength=1 << CELL_BITS)
+                total[-1, 0] += len(s.at)
         level, cell = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(level, pa.int32()), pa.array(cell, pa.int32()), pa.array(total[level, cell])], names=["level", "cell", "n"]

@@ -42,7 +42,7 @@ TOXIC_BYTES = 12 << 10
 MIN_ODDS = 20.0
 MIN_DOCS = 3
 MIN_STEM, MAX_STEM = 4, 9
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1 << 20
 LEVEL, MIN_MATCH = 16, 3
 
 
@@ -80,18 +80,16 @@ class Gains(dict):
             return zstandard.ZstdCompressor(dict_data=raw, compression_params=parameters)
 
         self.ordinary, self.toxic = compressor(model.ordinary), compressor(model.toxic)
-        self.bare: dict[bytes, int] = {}
 
     def __missing__(self, word: bytes) -> int:
         bare = word.strip(PUNCTUATION)
-        gain = self.bare.get(bare)
-        if gain is None:
+        if bare != word:
+            gain = self[bare]
+        else:
             window = LEAD + two_bytes(b" " + bare + b" ")
             gain = len(self.ordinary.compress(window)) - len(self.toxic.compress(window))
-            self.bare[bare] = gain
         if len(self) > CACHE_WORDS:
             self.clear()
-            self.bare.clear()
         self[word] = gain
         return gain
 
