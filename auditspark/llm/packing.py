@@ -33,7 +33,7 @@ from .common import empty_if_null, per_process, slices, store
 WINDOW = 2048
 END_ID = 1
 #: Words whose ids a worker remembers (about 200 bytes each), and text split at a time.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 SLICE_BYTES = 1 << 20
 ENDINGS = {b",", b"."}
 
