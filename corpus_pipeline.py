@@ -20,8 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    return jaccard.representatives(docs)
+    """One document of each group of near copies (five-word shingles, similarity of
+    0.8 or more): the one with the smallest id."""
+    return jaccard.representatives(docs, width=5, threshold=(4, 5))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,3 +81,22 @@ def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def five_word_similarity(a, b):
+    one, two = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(one & two) / len(one | two)
+
+
+def test_near_copies_at_five_words(spark, docs):
+    """Copies with one word changed: above and below 0.8 by length, all below 0.9 at three words."""
+    rnd = random.Random(9)
+    rows, pairs = [], []
+    for k, n in enumerate([30, 40, 46, 48, 49, 50, 51, 52, 53, 54, 30, 50]):
+        words = ["w%d" % rnd.randrange(10**6) for _ in range(n)]
+        copy = [*words[: n // 2], "changed%d" % k, *words[n // 2 + 1 :]]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        pairs.append(five_word_similarity(rows[-2][1], rows[-1][1]))
+    assert any(0.8 <= p < 0.9 for p in pairs) and any(p < 0.8 for p in pairs)
+    wanted = sorted(2 * k + j for k, p in enumerate(pairs) for j in (0, 1) if not (j and p >= 0.8))
+    assert sorted(ids(corpus_pipeline.one_of_each_group(spark, docs(rows), ""))) == wanted
