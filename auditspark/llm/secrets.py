@@ -1,7 +1,7 @@
 """Secret scans: candidates by form, false positives removed by a random forest.
 
 A candidate is a run of at least 12 letters, digits and ``+ / _ -`` with both a
-letter and a digit.  The forest sees its length, shares of digits and capitals,
+letter and a digit; a word may hold several.  The forest sees its length, shares of digits and capitals,
 how often neighbouring characters change class, how many characters differ, how
 much of it the trigrams of ordinary words cover, whether it looks like a path,
 an address or a date, and the words beside it.  It is trained with labelled
@@ -18,6 +18,8 @@ words).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -44,14 +46,12 @@ def features(value: Column, word: Column, before: Column, after: Column, trigram
     """The forest's inputs for a candidate in its word, with the two words before."""
     n = F.length(value).cast("double")
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / n
-    lower = F.lower(value)
-    places = F.sequence(F.lit(1), F.greatest(F.length(value) - 2, F.lit(1)))
+    parts = F.regexp_extract_all(F.lower(value), F.lit("(?=([a-z]{3}))"), F.lit(1))
+    bits = F.array(*[F.lit(trigrams[k : k + 676]) for k in range(0, 26**3, 676)])
 
-    def known(at: Column) -> Column:
-        part = F.substring(lower, at, F.lit(3))
+    def known(part: Column) -> Column:
         digit = lambda k: F.instr(F.lit(LETTERS), F.substring(part, k, 1)) - 1
-        index = digit(1) * 676 + digit(2) * 26 + digit(3)
-        return part.rlike("^[a-z]{3}$") & (F.substring(F.lit(trigrams), index + 1, F.lit(1)) == "1")
+        return F.substring(F.get(bits, digit(1)), digit(2) * 26 + digit(3) + 1, F.lit(1)) == "1"
 
     near = F.lower(F.concat_ws(" ", before, word))
     return {
@@ -60,7 +60,7 @@ def features(value: Column, word: Column, before: Column, after: Column, trigram
         "capitals": share("[A-Z]"),
         "changes": share("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]|(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]"),
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(32.0)),
-        "covered": F.size(F.filter(places, known)) / n,
+        "covered": F.size(F.filter(parts, known)) / n,
         "hex": value.rlike("^[0-9a-f]+$").cast("double"),
         "separators": F.regexp_count(word, F.lit(r"[/\\._-]")).cast("double"),
         "address": word.rlike("(?i)://|@|www[.]|[.](com|org|net|html?|php)").cast("double"),
@@ -161,25 +161,57 @@ def _probability(trees: list, inputs: Column) -> Column:
     return total / len(trees)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, also where a lambda reads it for each item."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _runs(s: Column, words: Column) -> Column:
+    """Array of the runs of a word (at, value, near, before).  What stands near a
+    run is its word, as far as the other runs and separators of fields; before a
+    later run stand the characters between, with the run before if it is assigned."""
+    earlier = lambda k: F.when(s["at"] >= k, F.get(words, s["at"] - k)).otherwise("")
+    # There is one gap more than runs.
+    cut = F.struct(
+        F.regexp_extract_all(s["word"], F.lit(RUN), F.lit(0)).alias("runs"), F.split(s["word"], RUN).alias("gaps"),
+        F.concat_ws(" ", earlier(2), earlier(1)).alias("before"),
+    )
+
+    def each(c: Column) -> Column:
+        def one(value: Column, k: Column) -> Column:
+            lead = F.get(c["gaps"], k)
+            own = F.regexp_extract(lead, "[^?&;,{}|]*$", 0)
+            tail = F.regexp_extract(F.get(c["gaps"], k + 1), "^[^?&;,{}|=]*", 0)
+            name = F.when(lead.rlike("^[\"']?[:=]+[\"'(]*$"), F.get(c["runs"], k - 1)).otherwise("")
+            return F.struct(
+                s["at"].alias("at"), value.alias("value"), F.concat(own, value, tail).alias("near"),
+                F.when(k == 0, c["before"]).otherwise(F.concat(name, own)).alias("before"),
+            )
+
+        return F.transform(c["runs"], one)
+
+    return _once(cut, each)
+
+
 def findings(text: Column, model: tuple[list, str]) -> Column:
     """Array of the findings of a text: word_no, secret and score."""
     trees, trigrams = model
-    words = F.split(text, WHITE)
-    numbered = F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at")))
-    likely = F.filter(numbered, lambda s: (F.length(s["word"]) >= 12) & s["word"].rlike(RUN))
+
+    def candidates(words: Column) -> Column:
+        numbered = F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at")))
+        likely = F.filter(numbered, lambda s: (F.length(s["word"]) >= 12) & s["word"].rlike(RUN))
+        return F.flatten(F.transform(likely, lambda s: _runs(s, words)))
 
     def describe(s: Column) -> Column:
-        value = F.regexp_extract(s["word"], RUN, 0)
-        earlier = lambda k: F.when(s["at"] >= k, F.get(words, s["at"] - k)).otherwise("")
-        inputs = features(value, s["word"], F.concat_ws(" ", earlier(2), earlier(1)), F.lit(""), trigrams)
+        inputs = features(s["value"], s["near"], s["before"], F.lit(""), trigrams)
         return F.struct(
-            s["at"].cast("long").alias("word_no"), value.alias("secret"), F.struct(*[c.alias(k) for k, c in inputs.items()]).alias("f")
+            s["at"].cast("long").alias("word_no"), s["value"].alias("secret"), F.struct(*[c.alias(k) for k, c in inputs.items()]).alias("f")
         )
 
     def judge(s: Column) -> Column:
         return F.struct(s["word_no"].alias("word_no"), s["secret"].alias("secret"), _probability(trees, s["f"]).alias("score"))
 
-    judged = F.transform(F.transform(likely, describe), judge)
+    judged = F.transform(F.transform(_once(F.split(text, WHITE), candidates), describe), judge)
     found = F.filter(judged, lambda s: s["score"] >= 0.5)
     # Most texts hold no candidate at all and are not split into words.
     empty = F.array().cast("array<struct<word_no:bigint,secret:string,score:double>>")
@@ -205,5 +237,7 @@ def redacted(docs: DataFrame, model: tuple[list, str] | None = None, id_col: str
     """All rows and columns, with the findings in texts masked; null texts stay null."""
     model = model or fit(docs, id_col, text_col)
     text = F.col(f"`{text_col}`").cast("string")
-    masked = F.aggregate(findings(text, model), text, lambda t, s: F.replace(t, s["secret"], F.lit(MASK)))
+    # Longer ones first: a short secret may be part of a longer one.
+    longest = F.array_sort(findings(text, model), lambda a, b: F.length(b["secret"]) - F.length(a["secret"]))
+    masked = F.aggregate(longest, text, lambda t, s: F.replace(t, s["secret"], F.lit(MASK)))
     return docs.withColumn(text_col, F.when(text.isNotNull(), masked))
