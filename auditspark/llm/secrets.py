@@ -7,7 +7,7 @@ much of it the trigrams of ordinary words cover, whether it looks like a path,
 an address or a date, and the words beside it.  It is trained with labelled
 findings: ``FINDINGS`` made-up secrets and look-alikes (checksums after
 ``commit`` or ``sha256``, identifiers, paths, timestamps, numbered words) set
-among words of a bounded sample of ``FIT_DOCS`` documents.  Its trees become one
+among the most common words.  Words and trigrams are counted over all documents.  Its trees become one
 SQL expression, so scanning is a projection without a shuffle: DataFrame and SQL
 functions only.
 
@@ -24,10 +24,9 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import empty_if_null
+from .common import empty_if_null, store
 
-#: Documents whose words and trigrams the forest is fitted with, at most (in expectation).
-FIT_DOCS = 2_000
+#: Most common words that findings are made up of.
 FIT_WORDS = 2_000
 FINDINGS = 6_000
 TREES, DEPTH = 15, 5
@@ -71,13 +70,13 @@ def features(value: Column, word: Column, before: Column, after: Column, trigram
     }
 
 
-def dictionary(docs: DataFrame, id_col: str, text_col: str) -> tuple[list[str], str]:
-    """Ordinary words and the set of their trigrams as 26**3 bits, of a bounded sample."""
-    n = docs.count()
-    share = min(1.0, FIT_DOCS / max(n, 1))
-    drawn = docs.where(F.pmod(F.xxhash64(F.lit("secrets"), F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000))
-    words = drawn.select(F.explode(F.split(F.lower(empty_if_null(text_col)), "[^a-z]+")).alias("w")).where("length(w) > 2")
-    counts = words.groupBy("w").agg(F.count("*").alias("n"))
+def dictionary(docs: DataFrame, text_col: str) -> tuple[list[str], str]:
+    """The most common words and the trigrams of ordinary words as 26**3 bits, of all
+    documents.  Candidates are left out: where many secrets are, they would make
+    every trigram an ordinary one."""
+    text = F.regexp_replace(empty_if_null(text_col), RUN, " ")
+    words = docs.select(F.explode(F.split(F.lower(text), "[^a-z]+")).alias("w")).where("length(w) > 2")
+    counts = store(words.groupBy("w").agg(F.count("*").alias("n")), "secret_words")
     common = [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(FIT_WORDS).collect()] or ["the", "and", "value", "table"]
     places = F.sequence(F.lit(1), F.length("w") - 2)
     parts = counts.where("n > 1").select(
@@ -128,7 +127,7 @@ def labelled(spark: SparkSession, words: list[str], n: int = FINDINGS) -> DataFr
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list, str]:
     """The trees, as nested (feature, threshold, left, right) or shares, and the trigrams."""
-    words, trigrams = dictionary(docs, id_col, text_col)
+    words, trigrams = dictionary(docs, text_col)
     found = labelled(docs.sparkSession, words)
     columns = features(F.col("value"), F.col("word"), F.col("before"), F.col("after"), trigrams)
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(

@@ -108,3 +108,12 @@ def test_secrets_within_longer_ones_are_masked_whole(docs, model):
     whole = TOKEN[2]
     got = secrets.redacted(docs([(1, f"{whole[:24]}.{whole} end")]), model).first()["text"]
     assert got == f"{secrets.MASK}.{secrets.MASK} end"
+
+
+def test_rare_words_of_a_large_table_are_in_the_dictionary(docs):
+    """Three of 6000 documents have words of their own; the letters of secrets are no words."""
+    rows = [(k, "ordinary words of the table") for k in range(6000)] + [(7000 + k, "zyqxuv zyqxuv aqjzk1bvwxq7aqjzk") for k in range(3)]
+    trigrams = secrets.dictionary(docs(rows), "text")[1]
+    bit = lambda t: trigrams[sum((ord(c) - 97) * 26**k for c, k in zip(t, (2, 1, 0)))]
+    assert all(bit(t) == "1" for t in ("zyq", "yqx", "qxu", "xuv", "ord", "wor"))
+    assert all(bit(t) == "0" for t in ("aqj", "qjz", "jzk", "bvw", "vwx"))
