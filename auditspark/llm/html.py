@@ -4,7 +4,7 @@ Blocks of text give points for their length and commas to their parent, half of
 them to the grandparent and less to those above.  A container's points are
 discounted by the share of its text that stands in links.  The container with
 most points is the article; siblings that score well beside it, or that are
-plain paragraphs, are kept with it.  Elements that never hold article text
+plain paragraphs, lists or headings without links, are kept with it.  Elements that never hold article text
 (menus, footers, forms, scripts, adverts, comments, ...) are set aside by their
 tag, role or class before scoring.
 
@@ -43,8 +43,12 @@ ASIDE_NAMES = frozenset(
     "newsletter subscribe subscription signup popup modal overlay paywall pagination pager login respond replies skip".split()
 )
 ASIDE_UNLESS_TEXT = frozenset("header banner notice notices alert warning disclaimer legal copyright widget toolbar search tools meta".split())
+#: A class name with one of these parts tells how a page is laid out, not what the element is.
+LAYOUT_NAMES = frozenset("has have with without no not is open closed enabled disabled on off left right layout wrapper container page".split())
 TEXT_NAMES = frozenset("article content main story entry post text".split())
 ROOTS = frozenset(("html", "body", "main", "article"))
+#: Blocks that are kept beside the best container, however short, if they hold no link.
+PLAIN = frozenset("p ul ol dl blockquote pre h1 h2 h3 h4 h5 h6".split())
 # A block start ends an open paragraph, an item ends the item before it.
 ENDS_BEFORE = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)),
                "tr": ("tr", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")),
@@ -143,20 +147,36 @@ class Page:
             return False, name in ("article", "main")
         found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
         own = found.get("class", "") + " " + found.get("id", "")
-        words = {w.lower() for w in NAME.findall(own)}
+        aside_names, others, text_named = self._names(own.lower().split())
         style = found.get("style", "").replace(" ", "").lower()
         bare = {a.lower() for a in ATTRIBUTE.sub(" ", attributes).split()}
         hidden = "display:none" in style or "visibility:hidden" in style or "hidden" in bare or found.get("aria-hidden") == "true"
-        texty = bool(words & TEXT_NAMES) or name in ("article", "main")
+        texty = text_named or name in ("article", "main")
         if name in ("html", "body", "main"):
             return False, texty
         if name == "article":
             return hidden or bool({"comment", "comments"} & set(own.lower().split())), texty
         aside = (
-            hidden or found.get("role", "").lower() in ASIDE_ROLES or bool(words & ASIDE_NAMES)
-            or bool(words & ASIDE_UNLESS_TEXT) and not texty
+            hidden or found.get("role", "").lower() in ASIDE_ROLES or (aside_names or others) and not texty
         )
-        return aside, texty
+        return aside, texty and not aside_names
+
+    @staticmethod
+    def _names(tokens: list[str]) -> tuple[bool, bool, bool]:
+        """Whether whole class names or ids say that an element is to be set aside, that
+        it is unless it is text, and that it is text.  Of names with several parts those
+        that tell a layout (``has-sidebar``, ``comments-open``) say nothing."""
+        aside = others = text = False
+        for token in tokens:
+            parts = {w for w in NAME.findall(token)}
+            if len(parts) > 1 and parts & LAYOUT_NAMES:
+                continue
+            if parts & ASIDE_NAMES:
+                aside = True
+            elif parts & TEXT_NAMES:
+                text = True
+            others |= bool(parts & ASIDE_UNLESS_TEXT)
+        return aside, others, text
 
     def _inside(self, node: int, tags: tuple[str, ...]) -> bool:
         while node > 0:
@@ -236,6 +256,8 @@ class Page:
             density = linked.get(c, 0) / size[c]
             if scored.get(c, 0) >= max(10, 0.2 * scored[best]):
                 kept.add(c)
+            elif self.tag[c] in PLAIN and not linked.get(c):
+                kept.add(c)
             elif self.tag[c] == "p" and (size[c] > 80 and density < 0.25):
                 kept.add(c)
         return kept

@@ -52,3 +52,21 @@ def test_very_long_page():
 
 def test_deep_nesting():
     assert main_text("<div>" * 3000 + LONG + "</div>" * 3000) == LONG
+
+
+@pytest.mark.parametrize("attributes", [
+    'class="content has-sidebar"', 'class="post comments-open"', 'id="content" class="with-nav no-comments"',
+    'class="entry social"', 'class="no-sidebar"', 'class="page-sidebar-left"',
+])
+def test_wrappers_named_by_layout_are_read(attributes):
+    assert main_text(f"<body><div {attributes}><p>{LONG}</p><div class=site-footer>Foot</div></div></body>") == LONG
+
+
+@pytest.mark.parametrize("name", ["site-footer", "comment-text", "sidebar", "share-buttons", "post-comments"])
+def test_names_of_what_is_no_article_are_set_aside(name):
+    assert main_text(f"<body><section><p>{LONG}</p></section><div class={name}><p>{LONG}</p></div></body>") == LONG
+
+
+def test_short_blocks_beside_the_best_are_kept():
+    page = f"<div><h2>Head</h2><section><p>{LONG}</p><p>{LONG}</p></section><p>The end.</p><ul><li>one<li>two</ul><p><a href=x>more</a></p></div>"
+    assert main_text(page) == f"Head {LONG} {LONG} The end. one two"
