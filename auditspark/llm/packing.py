@@ -11,6 +11,10 @@ entries for each pattern, and patterns are bounded by the lengths as well.
 Pieces then take their places by rank within their length: a running number
 inside the task that cut them plus the counts of the tasks before.
 
+``<|startoftext|>`` and ``<|endoftext|>`` in a text are read as ordinary text
+(``encode_special_tokens``), so no document can hold a control id; the
+tokenizer's default gives their own ids instead.
+
 Null texts are empty; an empty text is the closing id alone.  Rows with the
 same or no id are documents of their own.  An empty table gives no piece.
 """
