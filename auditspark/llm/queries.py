@@ -1,4 +1,4 @@
-"""The ten operators over the whole tables, one registered query each."""
+"""The operators over the whole tables, one registered query each."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embeddings, fingerprint, html, jaccard, packing, secrets, substring, toxicity, warc
+from . import bpe, conversation, embeddings, fingerprint, html, jaccard, packing, secrets, substring, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +89,78 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_secret_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_conversation_repair",
+    r"""
+with recursive given as (
+ select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k
+ from conversations),
+marked as (
+ select *, xor(4294967295, list_reduce(
+   list_prepend(4294967295::bigint, list_transform(string_split(k, ''), lambda c: ascii(c)::bigint)),
+   lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1))))) % 20 as kind
+ from given),
+damaged as (
+ select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+  case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+ from marked, generate_series(1, case when kind = 3 then 2 else 1 end) where kind <> 0),
+numbered as (
+ select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as no from damaged),
+placed as (
+ select *, row_number() over (partition by conv_id, role, text order by no) as copy,
+  lag(role) over (partition by conv_id order by no) as role_before,
+  rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') as solid
+ from numbered),
+faulty as (
+ select *, left(role, 1) as initial,
+  case when solid = '' then 'blank' when copy > 1 then 'duplicate'
+       when right(solid, 1) not in ('.', '!', '?') then 'truncated' else 'fine' end as fault
+ from placed),
+counted as (
+ select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+  count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+  count(*) filter (fault = 'truncated') as truncated,
+  count(*) filter (no > 1 and left(role_before, 1) || initial not in ('su', 'ua', 'au')) as illegal, count(*) as n
+ from faulty group by conv_id),
+-- places in the grammar: 0 nothing yet, 1 after s, 2 after u, 3 after a; moves by inserts before a row
+inserts(was, mid, roles) as (values (0,0,''),(1,1,''),(2,2,''),(3,3,''),(0,2,'u'),(1,2,'u'),(3,2,'u'),(2,3,'a'),
+ (0,3,'ua'),(1,3,'ua'),(3,3,'ua'),(2,2,'au')),
+-- moves by a row: its own initial, or any row taken as another
+shifts(mid, initial, now) as (values (0,'s',1),(0,'u',2),(1,'u',2),(3,'u',2),(2,'a',3)),
+edits as (
+ select f.conv_id, f.no, i.was, s.now, 5 * length(i.roles) + case when f.fault = 'truncated' then 5 else 0 end + e.cost as cost,
+  repeat('I', length(i.roles)) || e.letter as letters, i.roles,
+  case when e.letter = 'K' then f.role when s.initial = 'u' then 'user' else 'assistant' end || ':' || f.text as line
+ from faulty f, inserts i join shifts s using (mid), (values ('K', 0), ('R', 1)) e(letter, cost)
+ where f.fault in ('fine', 'truncated') and case when e.letter = 'K' then s.initial = f.initial else s.initial in ('u', 'a') end
+ union all
+ select f.conv_id, f.no, i.was, i.mid, 5 * length(i.roles) + 2, repeat('I', length(i.roles)) || 'D', i.roles, null
+ from faulty f, inserts i),
+paths as (
+ select conv_id, 0::bigint as no, 0 as place, 0::bigint as cost, '' as audit, []::varchar[] as lines from counted
+ union all
+ select conv_id, no, place, cost, audit, lines from (
+  select p.conv_id, e.no, e.now as place, p.cost + e.cost as cost, p.audit || e.letters as audit,
+   p.lines || list_transform(list_filter(string_split(e.roles, ''), lambda r: r <> ''),
+    lambda r: case when r = 'u' then 'user:' else 'assistant:' end) || case when e.line is null then [] else [e.line] end as lines
+  from paths p join edits e on e.conv_id is not distinct from p.conv_id and e.no = p.no + 1 and e.was = p.place) x
+ qualify row_number() over (partition by conv_id, no, place order by cost, audit) = 1),
+ended as (
+ select p.conv_id, p.cost + 5 * length(i.roles) as cost, p.audit || repeat('I', length(i.roles)) as audit,
+  p.lines || list_transform(list_filter(string_split(i.roles, ''), lambda r: r <> ''),
+   lambda r: case when r = 'u' then 'user:' else 'assistant:' end) as lines
+ from paths p join counted c on c.conv_id is not distinct from p.conv_id and c.n = p.no
+ join inserts i on i.was = p.place where i.mid in (0, 3)
+ qualify row_number() over (partition by p.conv_id order by p.cost + 5 * length(i.roles), p.audit || repeat('I', length(i.roles))) = 1)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+ coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit,
+ sha256(coalesce(array_to_string(lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join counted c on c.conv_id is not distinct from o.conv_id
+left join ended e on e.conv_id is not distinct from o.conv_id""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair(table(spark, sf_dir, "conversations"))
