@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, conversation, embeddings, fingerprint, html, jaccard, packing, secrets, substring, toxicity, warc
+from . import bpe, conversation, embeddings, fingerprint, html, jaccard, packing, periodic, secrets, substring, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,3 +164,8 @@ left join ended e on e.conv_id is not distinct from o.conv_id""",
 )
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents"))
