@@ -21,10 +21,9 @@ def _byte_limit(df: DataFrame) -> int:
 
 def estimated_bytes(df: DataFrame) -> float:
     """The optimizer's size estimate; infinite where it cannot be asked."""
-    try:
-        return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except AttributeError:  # no JVM handle (remote session)
+    if not hasattr(df, "_jdf"):  # no JVM handle (remote session)
         return float("inf")
+    return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
