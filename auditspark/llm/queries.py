@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, conversation, embeddings, fingerprint, html, jaccard, packing, periodic, secrets, substring, toxicity, warc
+from . import bpe, conversation, decontaminate, embeddings, fingerprint, html, jaccard, packing, periodic, secrets, substring, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,3 +169,35 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_periodic_runs")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_decontamination",
+    r"""
+with d as (
+ select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (
+ select coalesce(cast(item_id as varchar), '') as item, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+windows as (
+ select distinct item, array_to_string(list_slice(w, k, k + 9), ' ') as passage, least(len(w), 10) as length
+ from b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as t(k) where len(w) > 0),
+lengths as (select distinct length from windows),
+places as (select rid, w, unnest(range(1, len(w) + 1)) as k from d),
+held as (
+ select rid, k, length, array_to_string(list_slice(w, k, k + length - 1), ' ') as passage
+ from places, lengths where k + length - 1 <= len(w)),
+occurring as (select h.*, item from held h join windows using (passage, length)),
+hit as (
+ select rid, count(distinct word) as n_hit
+ from (select rid, unnest(range(k, k + length)) as word from (select distinct rid, k, length from occurring)) group by rid),
+named as (
+ select rid, count(*) as n_items, string_agg(item, ',' order by item) as items
+ from (select distinct rid, item from occurring) group by rid)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+ sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (rid) left join named using (rid)""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
