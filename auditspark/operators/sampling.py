@@ -9,7 +9,9 @@ from ..functions.numeric import unit_hash
 from ..session import materialize
 from .joins import lookup_join
 from .labelling import block_counts, eligible_blocks
-from .ranking import _B, _C, kth_smallest, running_counts
+from .ranking import _C, kth_smallest, running_counts
+
+_B = "__bucket"
 
 SEGMENT = 1024
 
@@ -118,7 +120,7 @@ def quota_proportional(
     edge = (
         dealt.where((F.col("extra") > 0) & (F.col("extra") < F.col("n")))
         .withColumn("u", unit_hash("edge", F.col(block)))
-        .withColumns({_B: F.floor(F.col("u") * 4096).cast("int"), _C: F.lit(1)})
+        .withColumn(_C, F.lit(1))
     )
     ranked = running_counts(edge, ["cap"], ["u", block]).select(
         block, (F.col("base") + F.when(F.col("__below") < F.col("extra"), 1).otherwise(0)).alias("quota")

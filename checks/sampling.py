@@ -229,7 +229,7 @@ def m7(spark, d):
     audit("select row_id, row_number() over (partition by block_id, is_ai order by actual, row_id) as place from audit_rows"),
 )
 def w1(spark, d):
-    rows = fx.audit_rows(spark, d).withColumns({"__bucket": F.floor(F.col("actual") / 1000).cast("int"), "__count": F.lit(1)})
+    rows = fx.audit_rows(spark, d).withColumn("__count", F.lit(1))
     ranked = ranking.running_counts(rows, ["block_id", "is_ai"], ["actual", "row_id"])
     return ranked.select("row_id", (F.col("__below") + 1).alias("place"))
 

@@ -175,3 +175,62 @@ def test_zero_variance_and_tiny_groups(spark):
     out = {r["k"]: r for r in stat_tests.welch_by(df, ["k"], "v", F.col("label")).collect()}
     assert out["a"]["df"] == 1 and out["a"]["t"] is None and out["a"]["ci_low"] == out["a"]["ci_high"] == -2.0
     assert out["b"]["status"] == "not_estimable" and out["b"]["df"] is None
+
+
+@pytest.fixture(scope="module")
+def lopsided(spark):
+    """Sixty per cent zeros, one group in a range of 1e-9 and a few huge values."""
+    random.seed(3)
+    rows = [(0.0 if i % 10 < 6 else random.gauss(0, 1), "wide") for i in range(30_000)]
+    rows += [(1.0 + random.random() * 1e-9, "narrow") for _ in range(10_000)]
+    rows += [(1e15 * k, "wide") for k in range(-3, 3)] + [(float(k % 3), "few") for k in range(100)]
+    return spark.createDataFrame([(i, k, v) for i, (v, k) in enumerate(rows)], "id long, k string, v double").repartition(8)
+
+
+def test_selection_narrows_until_no_task_sorts_many(lopsided):
+    limit = 20
+    places = [0.0, 0.001, 0.35, 0.5, 0.77, 0.999, 1.0]
+    chosen = ranking.Selection(lopsided, ["k"], {"v": F.col("v")}, [("v", lambda n, p=p: F.lit(p) * (n - 1)) for p in places], limit)
+    assert chosen.most[0] > limit >= chosen.most[-1] and len(chosen.most) <= 4
+    inside = chosen.interior_counts().groupBy("k", "t").agg(F.sum("__count").alias("n"))
+    assert inside.agg(F.max("n")).first()[0] <= limit
+    probs = {f"p{k}": p for k, p in enumerate(places)}
+    got = {r["k"]: r for r in ranking.exact_quantiles(lopsided, ["k"], {"v": F.col("v")}, probs, limit).collect()}
+    want = lopsided.groupBy("k").agg(*[F.percentile("v", F.lit(p)).alias(f"{n}_v") for n, p in probs.items()]).collect()
+    assert len(want) == len(got) == 3
+    for row in want:
+        for name in probs:
+            assert got[row["k"]][f"{name}_v"] == pytest.approx(row[f"{name}_v"], rel=1e-12)
+
+
+def test_kth_smallest_of_a_narrow_range(lopsided):
+    values = sorted(r["v"] for r in lopsided.select("v").collect())
+    for k in (1, 17, 20_000, len(values)):
+        assert lopsided.sparkSession.range(1).select(ranking.kth_smallest(lopsided, "v", k).alias("v")).first()["v"] == values[k - 1]
+    assert lopsided.sparkSession.range(1).select(ranking.kth_smallest(lopsided, "v", len(values) + 1).alias("v")).first()["v"] is None
+
+
+def test_rank_ranges_are_even(lopsided, monkeypatch):
+    stored = []
+    keep = ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda df, name: stored.append(keep(df, name)) or stored[-1])
+    conf = lopsided.sparkSession.conf
+    conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # it would put so few rows into one task
+    counts = ranking.value_counts(lopsided, [], "v")
+    got = {r["v"]: (r["__below"], r["__total"]) for r in ranking.running_counts(counts, [], ["v"]).collect()}
+    conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = [r["count"] for r in stored[0].groupBy("__part").count().collect()]
+    assert max(sizes) <= 2 * counts.count() / 8 + 1
+    values = sorted(r["v"] for r in lopsided.select("v").collect())
+    first = {v: k for k, v in reversed(list(enumerate(values)))}
+    assert got == {v: (k, len(values)) for v, k in first.items()}
+
+
+def test_running_counts_within_keys(lopsided):
+    rows = lopsided.withColumn("__count", F.lit(1))
+    got = {r["id"]: (r["__below"], r["__total"]) for r in ranking.running_counts(rows, ["k"], ["v", "id"]).collect()}
+    groups = {}
+    for r in lopsided.collect():
+        groups.setdefault(r["k"], []).append((r["v"], r["id"]))
+    want = {i: (place, len(g)) for g in groups.values() for place, (_, i) in enumerate(sorted(g))}
+    assert got == want
