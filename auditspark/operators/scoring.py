@@ -34,18 +34,55 @@ def with_messages(df: DataFrame, c: AuditColumns = DEFAULT) -> DataFrame:
     return df.withColumn("messages", chat(persona_system(F.col("persona")), salary_user(c)))
 
 
+def ask(scorer: Scorer, chats: list[list[dict]]) -> list[tuple[str | None, str | None]]:
+    """(answer, error) of each chat.  A failing batch is halved until the bad chats
+    stand alone, so one among n costs at most 2 log2(n) + 1 further calls."""
+    try:
+        answers = list(scorer(chats))
+        if len(answers) != len(chats):
+            raise ValueError(f"{len(answers)} answers for {len(chats)} prompts")
+        return [(a, None) for a in answers]
+    except Exception as problem:
+        if len(chats) == 1:
+            return [(None, f"{type(problem).__name__}: {problem}")]
+    middle = len(chats) // 2
+    return ask(scorer, chats[:middle]) + ask(scorer, chats[middle:])
+
+
+def rebatched(batches: Iterator[pd.DataFrame], size: int | None) -> Iterator[pd.DataFrame]:
+    """The same rows in batches of ``size`` (the last may be smaller), whatever the
+    session's own batches are."""
+    held, n = [], 0
+    for pdf in batches:
+        if not size:
+            yield pdf
+            continue
+        held.append(pdf)
+        n += len(pdf)
+        if n >= size:
+            whole = pd.concat(held, ignore_index=True)
+            cut = n - n % size
+            for a in range(0, cut, size):
+                yield whole[a : a + size]
+            held, n = [whole[cut:]], n - cut
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
 def score(
     prompts: DataFrame,
     scorer_factory: ScorerFactory,
     keep: list[str],
     messages: str = "messages",
     output: str = "output",
+    batch_rows: int | None = None,
 ) -> DataFrame:
     """Add ``output`` and ``error`` to the ``keep`` columns of each prompt.
 
-    Arrow batches are the chunks (``spark.sql.execution.arrow.maxRecordsPerBatch``).
-    A failing batch is asked again prompt by prompt, so one bad prompt costs
-    only its own row; its reason goes to ``error`` and ``output`` stays null.
+    A scorer gets ``batch_rows`` prompts at a time (absent: as many as the session's
+    ``spark.sql.execution.arrow.maxRecordsPerBatch``).  A failing batch is halved, so
+    a bad prompt costs only its own row; its reason goes to ``error`` and
+    ``output`` stays null.
     """
     wanted = [prompts.schema[k] for k in keep]
     schema = T.StructType(
@@ -54,22 +91,8 @@ def score(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = scorer_factory()
-
-        def single(chat_messages: list[dict]) -> tuple[str | None, str | None]:
-            try:
-                return scorer([chat_messages])[0], None
-            except Exception as problem:
-                return None, f"{type(problem).__name__}: {problem}"
-
-        for pdf in batches:
-            chats = [[m if isinstance(m, dict) else m.asDict() for m in ms] for ms in pdf[messages]]
-            try:
-                answers = list(scorer(chats))
-                if len(answers) != len(chats):
-                    raise ValueError(f"{len(answers)} answers for {len(chats)} prompts")
-                pairs = [(a, None) for a in answers]
-            except Exception:
-                pairs = [single(m) for m in chats]
+        for pdf in rebatched(batches, batch_rows):
+            pairs = ask(scorer, [[m if isinstance(m, dict) else m.asDict() for m in ms] for ms in pdf[messages]])
             out = pdf[keep].copy()
             out[output] = pd.Series([p[0] for p in pairs], index=out.index, dtype="object")
             out["error"] = pd.Series([p[1] for p in pairs], index=out.index, dtype="object")

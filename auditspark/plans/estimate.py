@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..columns import DEFAULT, AuditColumns
@@ -13,7 +12,10 @@ from ..operators.scoring import (
     with_messages, with_parsed_answer, with_personas,
 )
 from ..sources.readers import distinct_titles
-from ..sources.writers import append_run, write_version
+from ..operators.ranking import running_counts
+from ..session import scratch_path, shuffle_width
+from ..sources.ledger import append_chunk, new_run, read_committed
+from ..sources.writers import write_version
 
 # Columns of a stored estimate besides keys and answers.
 def carried_columns(c: AuditColumns = DEFAULT) -> list[str]:
@@ -29,10 +31,19 @@ def prompt_columns(c: AuditColumns = DEFAULT) -> list[str]:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # nothing stored yet
-        return None
+    """What the committed chunks of all runs hold; None where nothing is stored."""
+    return read_committed(spark, path)
+
+
+def planned(todo: DataFrame, keys: list[str], chunk_rows: int) -> tuple[DataFrame, int]:
+    """The rows to score with their chunk, stored, and the number of chunks.  Chunks are
+    ``chunk_rows`` rows in the order of the keys, the last one what is left."""
+    placed = running_counts(todo.withColumn("__count", F.lit(1)), [], keys).drop("__count", "__total")
+    chunk = F.floor(F.col("__below") / chunk_rows).cast("long")
+    stored = scratch_path(todo.sparkSession, "chunks")
+    placed.withColumn("__chunk", chunk).drop("__below").write.partitionBy("__chunk").parquet(stored)
+    plan = todo.sparkSession.read.schema(todo.schema.add("__chunk", "long")).parquet(stored)
+    return plan, (plan.agg(F.max("__chunk")).first()[0] if not plan.isEmpty() else -1) + 1
 
 
 def estimate(
@@ -42,27 +53,36 @@ def estimate(
     scorer_factory: ScorerFactory,
     path: str,
     c: AuditColumns = DEFAULT,
-    chunks: int | None = None,
+    chunk_rows: int = 100_000,
+    batch_rows: int | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Score what is not finished yet, append it, and return all results.
+    """Score what is not finished yet, chunk by chunk, and return all results.
 
-    One append is one commit; running again scores nothing. A retried task
-    cannot double a row, since readers take one result per key.
+    A chunk is ``chunk_rows`` prompts, scored by ``tasks`` tasks in batches of
+    ``batch_rows`` and committed when it is whole: a run that dies keeps the chunks
+    before, and the next run asks only for what no committed chunk has finished.
+    Running again scores nothing.  ``rows`` must not hold a key twice.
     """
     require_columns(rows, [c.row_id, *prompt_columns(c)], "rows to score")
     spark = rows.sparkSession
     keys = [c.model, "persona", c.row_id]
     wanted = with_personas(rows, personas).withColumn(c.model, F.lit(model))
     stored = read_results(spark, path)
-    # Finished rows go before the prompts are written out, so no text is shuffled.
     todo = wanted if stored is None else pending_rows(wanted, stored, keys, c)
-    todo = with_messages(todo, c)
     carried = [x for x in carried_columns(c) if x in rows.columns]
-    if chunks:
-        todo = todo.repartition(chunks)
-    answered = with_parsed_answer(score(todo, scorer_factory, [*keys, *carried]), c).drop("output")
-    append_run(answered, path, [c.model])
-    return latest_results(spark.read.parquet(path), keys, c=c)
+    plan, chunks = planned(todo, keys, chunk_rows)
+    run, width = new_run(), tasks or shuffle_width(spark)
+    for chunk in range(chunks):
+        # Finished rows are gone and prompts are not yet written out: little is shuffled.
+        part = plan.where(F.col("__chunk") == chunk).drop("__chunk").repartition(width, *keys)
+        answered = score(with_messages(part, c), scorer_factory, [*keys, *carried], batch_rows=batch_rows)
+        append_chunk(with_parsed_answer(answered, c).drop("output"), path, run, chunk)
+    found = read_results(spark, path)
+    if found is None:  # nothing was asked for
+        empty = score(with_messages(wanted.limit(0), c), scorer_factory, [*keys, *carried])
+        return with_parsed_answer(empty, c).drop("output").withColumns({"run_id": F.lit(""), "chunk": F.lit(0)})
+    return latest_results(found, keys, c=c)
 
 
 def correct_estimates(

@@ -66,7 +66,7 @@ def p2_errors(spark, d):
 
 @query("p3_chunked_scoring", audit(f"select row_id, cast(20000 + 100 * {LEN} as varchar) as output, cast(null as varchar) as error from audit_rows"))
 def p3(spark, d):
-    return scoring.score(single_prompts(spark, d).repartition(5), length_scorer, ["row_id"])
+    return scoring.score(single_prompts(spark, d).repartition(5), length_scorer, ["row_id"], batch_rows=64)
 
 
 @query(
@@ -76,12 +76,14 @@ def p3(spark, d):
 def p4(spark, d):
     rows, path = prompt_rows(spark, d).withColumn("positions", F.col("positions").cast("bigint")), scratch_path(spark, "estimates")
     args = ("stand-in", ["salary_estimator"], length_scorer, path, COLS)
-    estimate_plan.estimate(rows.where("state < '2'"), *args)
-    estimate_plan.estimate(rows, *args)
+    # Four chunks a run, the last smaller, whatever the size of the table.
+    chunk = lambda some: dict(chunk_rows=max(1, -(-some.count() // 4)), batch_rows=500)
+    estimate_plan.estimate(rows.where("state < '2'"), *args, **chunk(rows.where("state < '2'")))
+    estimate_plan.estimate(rows, *args, **chunk(rows.where("state >= '2'")))
     out = estimate_plan.estimate(rows, *args)
     # The third run found everything finished, so only two run ids hold rows.
     order = F.array_sort(F.collect_set("run_id"))
-    runs = spark.read.parquet(path).agg(order.alias("runs")).select("runs").scalar()
+    runs = estimate_plan.read_results(spark, path).agg(order.alias("runs")).select("runs").scalar()
     return out.select("row_id", "est", "status", F.array_position(runs, F.col("run_id")).alias("run_no"))
 
 

@@ -8,7 +8,7 @@ from auditspark.operators import filters, scoring
 from auditspark.plans import analysis, fixtures as fx
 from auditspark.plans.fixtures import COLS, table
 from auditspark.session import scratch_path
-from auditspark.sources import readers, writers
+from auditspark.sources import ledger, readers, writers
 
 from .quality import keyed_rows
 from .registry import audit, query, r
@@ -267,6 +267,25 @@ def k7(spark, d):
     return spark.read.parquet(path).groupBy("model_id").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("run_id").alias("n_runs"))
 
 
+@query(
+    "k7_committed_chunks",
+    audit("select model_id as chunk, count(*) as n_rows, sum(est) as total from predictions where model_id <> 4 group by model_id").replace("select model_id as chunk, count(*) as n_rows, sum(est)", "select cast(model_id as bigint) as chunk, count(*) as n_rows, cast(sum(est) as bigint)"),
+)
+def k7_chunks(spark, d):
+    """A chunk for each model: one is written twice, one dies before its commit."""
+    path, run = scratch_path(spark, "ledger"), ledger.new_run()
+    p = fx.predictions(spark, d).select("model_id", "row_id", "est")
+    for chunk in range(6):
+        part = p.where(F.col("model_id") == chunk)
+        if chunk == 4:
+            ledger.write_attempt(part, path, run, chunk)
+        else:
+            ledger.append_chunk(part, path, run, chunk)
+    ledger.append_chunk(p.where("model_id = 2"), path, run, 2)
+    found = ledger.read_committed(spark, path)
+    return found.groupBy(F.col("chunk").cast("bigint").alias("chunk")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("est").alias("total"))
+
+
 @query("k8_write_versions", audit("select v, sum(est + v - 1)::bigint as total from predictions, (select unnest([1, 2]) as v) group by v").replace("sum(est + v - 1)::bigint as total", "cast(sum(est + v - 1) as bigint) as total").replace("select v,", "select cast(v as bigint) as v,"))
 def k8(spark, d):
     folder = scratch_path(spark, "versions")

@@ -1,8 +1,10 @@
 """Guards, resume, retry, sources, whole runs and the streamed run."""
 
 import glob
+import math
 import os
 import sys
+import uuid
 
 import pytest
 from pyspark import cloudpickle
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from auditspark.columns import DEFAULT as C
 from auditspark.operators import filters, quality, scoring
 from auditspark.plans import analysis, compare, estimate, sample
-from auditspark.sources import readers, writers
+from auditspark.sources import ledger, readers, writers
 from auditspark.streaming.incremental import stream_estimates
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -74,6 +76,84 @@ def test_resume_scores_nothing_twice(spark, observations, tmp_path):
     assert spark.read.parquet(path).count() == before == again.count()
 
 
+def counting(folder, dies_on=None):
+    """A scorer that notes each prompt it answers, and may take its run down."""
+
+    def factory():
+        def answer(batch):
+            for chat in batch:
+                if dies_on and dies_on in chat[-1]["content"]:
+                    os._exit(3)  # the worker, not the prompt: no answer can be kept
+                with open(os.path.join(folder, uuid.uuid4().hex), "w") as out:
+                    out.write(chat[-1]["content"])
+            return ["75000"] * len(batch)
+
+        return answer
+
+    return factory
+
+
+def test_a_killed_run_keeps_its_chunks(spark, observations, tmp_path):
+    asked, path = tmp_path / "asked", str(tmp_path / "results")
+    asked.mkdir()
+    # In the order of the keys (row ids) the last eighth dies.
+    rows = observations.withColumn(C.title, F.when(F.col(C.row_id) >= 210, "Deadly").otherwise(F.concat(C.title, F.lit(" "), C.row_id)))
+    with pytest.raises(Exception):
+        estimate.estimate(rows, "m", [""], counting(str(asked), "Deadly"), path, chunk_rows=50, tasks=2)
+    kept = estimate.read_results(spark, path)
+    assert sorted({r["chunk"] for r in kept.select("chunk").collect()}) == [0, 1, 2, 3]
+    assert {r[0] for r in kept.select(C.row_id).collect()} == set(range(200))
+    once = set(asked.iterdir())
+    out = estimate.estimate(observations, "m", [""], counting(str(asked)), path, chunk_rows=7, batch_rows=3, tasks=2)
+    assert out.count() == 240 == out.select(C.row_id).distinct().count()
+    again = [p.read_text() for p in set(asked.iterdir()) - once]
+    assert len(again) == 40  # what no committed chunk held
+
+
+def test_uncommitted_and_doubled_chunks_do_not_count(spark, tmp_path):
+    path, run = str(tmp_path / "ledger"), ledger.new_run()
+    assert ledger.read_committed(spark, path) is None
+    rows = spark.range(10)
+    lost, kept = ledger.write_attempt(rows, path, run, 0), ledger.write_attempt(rows, path, run, 0)
+    assert lost != kept and ledger.read_committed(spark, path) is None
+    ledger.commit(spark, path, kept)
+    assert ledger.read_committed(spark, path).count() == 10
+    ledger.commit(spark, path, lost)  # a late driver
+    assert ledger.read_committed(spark, path).count() == 10
+    assert ledger.append_chunk(rows, path, run, 0) is False and ledger.append_chunk(rows, path, run, 1) is True
+    assert ledger.committed_chunks(spark, path, run) == [0, 1]
+    assert ledger.read_committed(spark, path).groupBy("chunk").count().count() == 2
+
+
+@pytest.mark.parametrize("n,bad", [(10_000, [6_543]), (1024, [0]), (1000, [3, 999]), (1, [0]), (5, [])])
+def test_failing_batches_are_halved(n, bad):
+    calls = []
+
+    def scorer(batch):
+        calls.append(len(batch))
+        if any(b in batch for b in bad):
+            raise ValueError("bad prompt")
+        return [str(b) for b in batch]
+
+    out = scoring.ask(scorer, list(range(n)))
+    assert [k for k, (_, problem) in enumerate(out) if problem] == bad
+    assert all(a == str(k) for k, (a, problem) in enumerate(out) if not problem)
+    assert len(calls) <= 1 + len(bad) * 2 * math.ceil(math.log2(max(n, 2)))
+
+
+def test_batch_size_is_a_parameter(spark, observations):
+    sizes = lambda: lambda batch: [str(len(batch))] * len(batch)
+    prompts = scoring.prompt_table(observations.coalesce(1), [""], C)
+    for size, want in ((100, {"100": 200, "40": 40}), (7, {"7": 238, "2": 2}), (1000, {"240": 240})):
+        out = scoring.score(prompts, sizes, [C.row_id], batch_rows=size)
+        assert {r["output"]: r["count"] for r in out.groupBy("output").count().collect()} == want
+
+
+def test_estimate_of_nothing(spark, observations, tmp_path):
+    out = estimate.estimate(observations.limit(0), "m", [""], scorer, str(tmp_path / "none"))
+    assert out.count() == 0 and {C.row_id, C.estimate, "run_id"} <= set(out.columns)
+
+
 def test_latest_result_prefers_finished(spark):
     rows = [(1, "ok", 5.0, "r1"), (1, "inference_error", None, "r2"), (2, "inference_error", None, "r1"), (2, "malformed", None, "r2")]
     df = spark.createDataFrame(rows, f"{C.row_id} int, {C.status} string, {C.estimate} double, run_id string")
