@@ -3,7 +3,8 @@
 A candidate is a run of at least 12 letters, digits and ``+ / _ -`` with both a
 letter and a digit; a word may hold several.  The forest sees its length, shares of digits and capitals,
 how often neighbouring characters change class, how many characters differ, how
-much of it the trigrams of ordinary words cover, whether it looks like a path,
+much of it the trigrams of ordinary words cover, its share of vowels and longest
+piece of letters (so words of no document are known as words), whether it looks like a path,
 an address or a date, and the words beside it.  It is trained with labelled
 findings: ``FINDINGS`` made-up secrets and look-alikes (checksums after
 ``commit`` or ``sha256``, identifiers, paths, timestamps, numbered words) set
@@ -32,13 +33,16 @@ FINDINGS = 6_000
 TREES, DEPTH = 15, 5
 MASK = "[SECRET]"
 WHITE = r"[\x20\x09-\x0D]+"
-RUN = r"(?=[A-Za-z+/_-]{0,255}[0-9])(?=[0-9+/_-]{0,255}[A-Za-z])[A-Za-z0-9+/_-]{12,}"
+#: A whole run, however long: it is looked through once, from its beginning.
+RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{12,}"
 #: Words that announce a secret or a checksum.
 TELLING = "pass|pwd|secret|token|key|auth|credential|bearer"
 HARMLESS = "commit|sha|md5|checksum|digest|hash|rev|version|build|file|path|uuid|page|date"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ["length", "digits", "capitals", "changes", "distinct", "covered", "hex", "separators", "address", "dated",
-            "telling", "harmless", "assigned"]
+#: Syllables of look-alikes whose words stand in no document (any would do).
+SYLLABLES = ["ba", "ce", "dor", "fi", "gan", "hel", "ji", "ko", "lum", "ma", "ner", "po", "qui", "ros", "su", "tel", "va", "win", "xo", "ze"]
+FEATURES = ["length", "digits", "capitals", "changes", "distinct", "covered", "vowels", "longest", "hex", "separators",
+            "address", "dated", "telling", "harmless", "assigned"]
 
 
 def features(value: Column, word: Column, before: Column, after: Column, trigrams: str) -> dict[str, Column]:
@@ -46,6 +50,7 @@ def features(value: Column, word: Column, before: Column, after: Column, trigram
     n = F.length(value).cast("double")
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / n
     parts = F.regexp_extract_all(F.lower(value), F.lit("(?=([a-z]{3}))"), F.lit(1))
+    pieces = F.regexp_extract_all(value, F.lit("[A-Z]?[a-z]+"), F.lit(0))
     bits = F.array(*[F.lit(trigrams[k : k + 676]) for k in range(0, 26**3, 676)])
 
     def known(part: Column) -> Column:
@@ -60,6 +65,8 @@ def features(value: Column, word: Column, before: Column, after: Column, trigram
         "changes": share("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]|(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]"),
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(32.0)),
         "covered": F.size(F.filter(parts, known)) / n,
+        "vowels": F.regexp_count(F.lower(value), F.lit("[aeiouy]")) / F.greatest(F.regexp_count(value, F.lit("[A-Za-z]")), F.lit(1)),
+        "longest": F.coalesce(F.array_max(F.transform(pieces, F.length)), F.lit(0)) / n,
         "hex": value.rlike("^[0-9a-f]+$").cast("double"),
         "separators": F.regexp_count(word, F.lit(r"[/\\._-]")).cast("double"),
         "address": word.rlike("(?i)://|@|www[.]|[.](com|org|net|html?|php)").cast("double"),
@@ -101,6 +108,9 @@ def labelled(spark: SparkSession, words: list[str], n: int = FINDINGS) -> DataFr
     telling = ["password", "token", "secret", "api_key", "auth", "access_key", "pwd", "credential"]
     a, b, c = pick("a"), pick("b"), pick("c")
     plain = F.concat_ws(" ", a, b)
+    made = lambda salt: F.concat(*[
+        F.when(F.lit(k) < number(salt, 3) + 2, of(f"{salt}{k}", SYLLABLES)).otherwise("") for k in range(4)
+    ])
     forms = [  # label, value, what stands before it in its word, words before
         (1, F.concat(F.lit("AKIA"), F.substring(F.upper(alnum("k")), 1, 16)), F.lit(""), plain),
         (1, cut(rnd("h"), "hl", 16, 48), F.concat(of("t", telling), of("e", ["=", ":"])), plain),
@@ -114,6 +124,8 @@ def labelled(spark: SparkSession, words: list[str], n: int = FINDINGS) -> DataFr
         (0, F.substring(rnd("h"), 1, 40), of("q", ["", "(", ":"]), F.concat_ws(" ", a, of("v", ["commit", "sha256", "md5", "checksum", "digest", "hash"]))),
         (0, F.concat(F.lit("20"), F.lpad(number("n", 90).cast("string"), 2, "0"), F.lit("-0"), (number("m", 9) + 1).cast("string"), F.lit("-11T0"), number("o", 9).cast("string")), F.lit(""), plain),
         (0, F.concat(F.initcap(a), F.initcap(b), number("n", 99).cast("string"), F.initcap(c)), F.lit(""), plain),
+        (0, F.concat(F.initcap(made("x")), F.initcap(made("y")), number("n", 99).cast("string"), F.initcap(made("z"))), F.lit(""), plain),
+        (0, F.concat(made("x"), of("j", ["_", "-", "/"]), made("y"), of("j", ["_", "-", "/"]), made("z"), number("n", 999).cast("string")), F.lit(""), plain),
     ]
     rows = None
     for k, (label, value, lead, before) in enumerate(forms):
