@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,8 +44,8 @@ ASIDE_NAMES = frozenset(
     "newsletter subscribe subscription signup popup modal overlay paywall pagination pager login respond replies skip".split()
 )
 ASIDE_UNLESS_TEXT = frozenset("header banner notice notices alert warning disclaimer legal copyright widget toolbar search tools meta".split())
-#: A class name with one of these parts tells how a page is laid out, not what the element is.
-LAYOUT_NAMES = frozenset("has have with without no not is open closed enabled disabled on off left right layout wrapper container page".split())
+#: A class name with one of these parts tells a state of the page, not what the element is.
+STATE_NAMES = frozenset("has have with without no not is open closed enabled disabled on off layout".split())
 TEXT_NAMES = frozenset("article content main story entry post text".split())
 ROOTS = frozenset(("html", "body", "main", "article"))
 #: Blocks that are kept beside the best container, however short, if they hold no link.
@@ -54,10 +55,12 @@ ENDS_BEFORE = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd
                "tr": ("tr", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")),
                "option": ("option", ("select",))}
 
+# No quantifier gives back what it took, so a page is read in time proportional to its length.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S
 )
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+ATTRIBUTE = re.compile(r"(?<![^\s=/\"'>])([^\s=/\"'>]++)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++)")
 NAME = re.compile(r"[A-Za-z]+")
 
 
@@ -67,6 +70,8 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.tag, self.aside, self.block, self.link, self.named = [-1], ["#"], [False], [0], [False], [False]
+        self.in_text = [False]  # whether a node is or lies in an article or main
+        self.open: Counter[str] = Counter()  # tags of the open elements
         self.pieces: list[tuple[int, int, str]] = []  # node, number of its block's turn, text
         self.turn = 0
         stack, at = [0], 0
@@ -86,7 +91,7 @@ class Page:
             if name in RAW:
                 end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = end.end() if end else len(source)
-                stack.pop()
+                self._cut(stack, len(stack) - 1)
         rest = source[at:]
         self._text(stack[-1], rest)
 
@@ -94,10 +99,14 @@ class Page:
         if text and not self.aside[node]:
             self.pieces.append((node, self.turn, text))
 
+    def _cut(self, stack: list[int], k: int) -> None:
+        self.open.subtract(self.tag[node] for node in stack[k:])
+        del stack[k:]
+
     def _close(self, stack: list[int], name: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, 0, -1) if self.open[name] > 0 else ():
             if self.tag[stack[k]] == name:
-                del stack[k:]
+                self._cut(stack, k)
                 break
             if self.tag[stack[k]] in ("table", "article", "body") and name not in BLOCK:
                 return
@@ -107,19 +116,19 @@ class Page:
     def _open(self, stack: list[int], name: str, attributes: str) -> None:
         if name in BLOCK or name == "br":
             self.turn += 1
-        if name in BLOCK:
+        if name in BLOCK and self.open["p"] > 0:
             for k in range(len(stack) - 1, 0, -1):
                 open_tag = self.tag[stack[k]]
                 if open_tag == "p":
-                    del stack[k:]
+                    self._cut(stack, k)
                     break
                 if open_tag in BLOCK:
                     break
-        if name in ENDS_BEFORE:
+        if name in ENDS_BEFORE and any(self.open[t] > 0 for t in ENDS_BEFORE[name][0].split()):
             ended, within = ENDS_BEFORE[name]
             for k in range(len(stack) - 1, 0, -1):
                 if self.tag[stack[k]] in ended.split():
-                    del stack[k:]
+                    self._cut(stack, k)
                     break
                 if self.tag[stack[k]] in within:
                     break
@@ -132,16 +141,16 @@ class Page:
         self.block.append(node if name in BLOCK else self.block[up])
         self.link.append(self.link[up] or name == "a")
         self.named.append(named)
-        if name not in VOID and not attributes.rstrip().endswith("/"):
-            stack.append(node)
-        elif name not in VOID and name in BLOCK:
+        self.in_text.append(self.in_text[up] or name in ("article", "main"))
+        if name not in VOID and (name in BLOCK or name in RAW or not attributes.rstrip().endswith("/")):
             stack.append(node)
+            self.open[name] += 1
 
     def _set_aside(self, up: int, name: str, attributes: str) -> tuple[bool, bool]:
         """Whether an element is set aside, and whether it is named as text."""
         if name in ASIDE_TAGS:
             return True, False
-        if name == "header" and not self._inside(up, ("article", "main")):
+        if name == "header" and not self.in_text[up]:
             return True, False
         if not attributes:
             return False, name in ("article", "main")
@@ -165,11 +174,12 @@ class Page:
     def _names(tokens: list[str]) -> tuple[bool, bool, bool]:
         """Whether whole class names or ids say that an element is to be set aside, that
         it is unless it is text, and that it is text.  Of names with several parts those
-        that tell a layout (``has-sidebar``, ``comments-open``) say nothing."""
+        that tell a state (``has-sidebar``, ``page-sidebar-left``) say nothing; the others say
+        what any of their parts says (``footer-container``, ``sidebar-left``)."""
         aside = others = text = False
         for token in tokens:
             parts = {w for w in NAME.findall(token)}
-            if len(parts) > 1 and parts & LAYOUT_NAMES:
+            if len(parts) > 1 and (parts & STATE_NAMES or "page" in parts and parts & {"left", "right"}):
                 continue
             if parts & ASIDE_NAMES:
                 aside = True
@@ -178,20 +188,13 @@ class Page:
             others |= bool(parts & ASIDE_UNLESS_TEXT)
         return aside, others, text
 
-    def _inside(self, node: int, tags: tuple[str, ...]) -> bool:
-        while node > 0:
-            if self.tag[node] in tags:
-                return True
-            node = self.parent[node]
-        return False
-
     def main_text(self) -> str:
         pieces = [(n, turn, html.unescape(t)) for n, turn, t in self.pieces]
-        kept = self._kept(pieces)
+        inside = self._marked(self._kept(pieces))
         out: list[str] = []
         last = None
         for node, turn, text in pieces:
-            if kept is not None and not self._under(node, kept):
+            if not inside[node]:
                 continue
             if turn != last:
                 out.append(" ")
@@ -199,17 +202,16 @@ class Page:
             out.append(text)
         return " ".join("".join(out).split())
 
-    def _under(self, node: int, kept: set[int]) -> bool:
-        while node >= 0:
-            if node in kept:
-                return True
-            node = self.parent[node]
-        return False
+    def _marked(self, kept: set[int] | None) -> list[bool]:
+        """Whether each node is kept or lies in one that is."""
+        inside = [kept is None] * len(self.parent)
+        for node, up in enumerate(self.parent):  # a parent comes before its children
+            inside[node] = inside[node] or node in (kept or ()) or (up >= 0 and inside[up])
+        return inside
 
     def _kept(self, pieces: list[tuple[int, int, str]]) -> set[int] | None:
         """Nodes whose text is the article; None for the whole page."""
-        size: dict[int, int] = {}
-        linked: dict[int, int] = {}
+        size, linked = Counter(), Counter()
         own: dict[tuple[int, int], list[int]] = {}
         for node, turn, text in pieces:
             n = len(" ".join(text.split()))
@@ -219,12 +221,11 @@ class Page:
             entry[0] += n
             entry[1] += text.count(",") + text.count("，") + text.count("、")
             entry[2] += n if self.link[node] else 0
-            up = node
-            while up >= 0:
-                size[up] = size.get(up, 0) + n
-                if self.link[node]:
-                    linked[up] = linked.get(up, 0) + n
-                up = self.parent[up]
+            size[node] += n
+            linked[node] += n if self.link[node] else 0
+        for node in range(len(self.parent) - 1, 0, -1):  # children come after their parent
+            size[self.parent[node]] += size[node]
+            linked[self.parent[node]] += linked[node]
         points: dict[int, float] = {}
         for (block, _), (n, commas, links) in own.items():
             if n < 25:

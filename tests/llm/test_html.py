@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from auditspark.llm.html import extract, main_text
@@ -70,3 +72,31 @@ def test_names_of_what_is_no_article_are_set_aside(name):
 def test_short_blocks_beside_the_best_are_kept():
     page = f"<div><h2>Head</h2><section><p>{LONG}</p><p>{LONG}</p></section><p>The end.</p><ul><li>one<li>two</ul><p><a href=x>more</a></p></div>"
     assert main_text(page) == f"Head {LONG} {LONG} The end. one two"
+
+
+ARTICLE = "".join(f"<p>Sentence {k} of the article, with a comma, and so long that it counts as a paragraph.</p>" for k in range(6))
+WANT = " ".join(f"Sentence {k} of the article, with a comma, and so long that it counts as a paragraph." for k in range(6))
+OTHER = "<p>Something else entirely, with a comma, long enough to be scored like a paragraph.</p>"
+
+
+@pytest.mark.parametrize("name", ["footer-container", "nav-wrapper", "comments-container", "sidebar-left", "page-footer",
+                                  "cookie-notice-container", "share-wrapper"])
+def test_set_aside_names_with_a_shell_word(name):
+    aside = f'<div class="{name}">{OTHER * 8}</div>'
+    nested = f"<html><body><div>{ARTICLE}{aside}</div></body></html>"
+    beside = f"<html><body><div>{ARTICLE}</div>{aside}</body></html>"
+    assert main_text(nested) == WANT and main_text(beside) == WANT
+
+
+@pytest.mark.parametrize("name", ["content-wrapper", "main-container", "has-sidebar", "comments-open", "page-with-sidebar"])
+def test_names_that_hold_the_article(name):
+    assert main_text(f'<body><div class="{name}">{ARTICLE}</div></body>') == WANT
+
+
+@pytest.mark.parametrize("page", ["<a" * 500_000, "<a " * 300_000, "<div>" * 60_000 + "deep text " + ARTICLE,
+                                  "".join(f"<div>text {k} " for k in range(60_000)), "<p x" + "y" * 500_000 + ">t</p>",
+                                  "<div>" * 20_000 + "</b>" * 50_000 + ARTICLE, "<b>" * 30_000 + "<hr>" * 30_000])
+def test_broken_and_deep_pages_take_linear_time(page):
+    start = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - start < 20
