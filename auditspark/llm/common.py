@@ -73,11 +73,14 @@ def chunks_for(df: DataFrame, text: str, size: int = CHUNK_BYTES) -> int:
     return max(8, -(-int(total) // size))
 
 
-def block_pairs(df: DataFrame, keys: list[str], spread_by: str, block: int) -> DataFrame:
+def block_pairs(df: DataFrame, keys: list[str], spread_by: str, block: int, load: Column | None = None) -> DataFrame:
     """Give the rows of a group places in pairs of blocks (i <= j) of about
-    ``block`` rows: every two rows of a group meet in one pair or more, and no
-    task holds more than two blocks.  ``mine`` is the row's own block."""
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    ``block`` rows, or of a summed ``load`` of one: every two rows of a group meet in
+    one pair or more, and no task holds more than two blocks.  ``mine`` is the
+    row's own block."""
+    filled = F.count("*") / block if load is None else F.sum(load)
+    # A little less than a whole block more is no new block: sums of doubles.
+    sizes = df.groupBy(*keys).agg(F.ceil(filled - F.lit(1e-9)).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64(spread_by), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     # A group of several blocks meets itself in the pairs of unequal blocks as well.

@@ -9,9 +9,9 @@ global order of all shingles; here two orders by rarity with different seeds for
 ties and one by seed alone.  Sets that meet in a prefix under the first order
 are brought together once for each pivot (the smallest set of a bucket); pairs
 whose prefixes do not meet under the other orders are left out, and the rest is
-compared exactly, skipping pairs that are connected already, so a group of near
-copies gives a spanning forest and not all its pairs.  Large groups are compared
-in pairs of blocks.
+compared exactly; of the links only a spanning forest is kept, so a group of near
+copies does not give all its pairs.  Large groups are compared in pairs of blocks
+that are bounded in sets and in shingles.
 
 Words and shingles are compared as 64-bit numbers.  Null, empty and wordless
 texts have an empty set and link with nothing; fewer words than a shingle form
@@ -38,6 +38,7 @@ from .hashing import scramble, window_numbers, word_numbers
 SPARE_BITS = 17
 GROUP_KEYS = 1 << 20
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
 ORDERS = ((True, 0x51), (True, 0xA7), (False, 0x3D))
 
 
@@ -169,24 +170,29 @@ def described(rows: DataFrame, told: DataFrame, width: int, bits: int, num: int,
     return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(describe, schema)
 
 
+def bit_rows(member: np.ndarray, column: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """A row of bits for each member, as 64-bit words, with its columns set."""
+    rows = np.zeros((shape[0], -(-shape[1] // 64) * 8), np.uint8)
+    # Each (member, column) is there once, so the bits of a byte add up.
+    np.add.at(rows, (member, column >> 3), np.left_shift(1, column & 7).astype(np.uint8))
+    return rows.view(np.uint64)
+
+
 def compare(digests, sets, prefixes, side, num: int, den: int) -> list[tuple[bytes, bytes]]:
     """A spanning forest of the pairs of one group that reach the threshold.
-    ``side`` numbers the blocks: with two of them only pairs across are compared."""
+    ``side`` numbers the blocks: with two of them only pairs across are compared.
+    Sets are rows of bits over the shingles that two of them hold."""
     n = np.asarray([len(s) for s in sets])
-    token = np.concatenate(sets)
     member = np.repeat(np.arange(len(sets)), n)
-    values, at, count = np.unique(token, return_inverse=True, return_counts=True)
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.cumsum(count > 1) - 1
     keep = count[at] > 1
-    has = np.zeros((len(sets), int((count > 1).sum())), np.float32)
-    has[member[keep], column[at[keep]]] = 1
+    has = bit_rows(member[keep], column[at[keep]], (len(sets), int((count > 1).sum())))
+    del member, at, keep
     meets = []
     for own in prefixes[1:]:
-        lengths = [len(p) for p in own]
         v, pos = np.unique(np.concatenate(own), return_inverse=True)
-        m = np.zeros((len(sets), len(v)), np.float32)
-        m[np.repeat(np.arange(len(sets)), lengths), pos] = 1
-        meets.append(m)
+        meets.append(bit_rows(np.repeat(np.arange(len(own)), [len(p) for p in own]), pos, (len(own), len(v))))
     root, edges, split = list(range(len(sets))), [], len(set(side)) > 1
 
     def find(i: int) -> int:
@@ -196,16 +202,16 @@ def compare(digests, sets, prefixes, side, num: int, den: int) -> list[tuple[byt
         return i
 
     for i in range(1, len(sets)):
-        found = np.ones(i, bool)
+        other = np.flatnonzero(side[:i] != side[i]) if split else np.arange(i)
         for m in meets:  # the prefixes meet under every order
-            found &= m[:i] @ m[i] > 0
-        if split:
-            found &= side[:i] != side[i]
-        other = np.flatnonzero(found)
-        both = has[other] @ has[i]
-        # I / (a + b - I) >= num / den
-        linked = other[(num + den) * both >= num * (n[other] + n[i])]
-        for j in linked.tolist():
+            other = other[(m[other] & m[i]).any(axis=1)]
+        linked = []
+        for a in range(0, len(other), 64):  # a few rows at a time
+            some = other[a : a + 64]
+            both = np.bitwise_count(has[some] & has[i]).sum(axis=1, dtype=np.int64)
+            # I / (a + b - I) >= num / den
+            linked += some[(num + den) * both >= num * (n[some] + n[i])].tolist()
+        for j in linked:
             a, b = find(i), find(j)
             if a != b:
                 root[a] = b
@@ -215,10 +221,13 @@ def compare(digests, sets, prefixes, side, num: int, den: int) -> list[tuple[byt
 
 def links(sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """Pairs of digests (a, b): enough of the similar pairs to connect each component."""
-    entries = sets.select(F.explode("prefix0").alias("token"), "digest").distinct()
+    size = (F.octet_length("shingles") / 8).cast("long").alias("n")
+    entries = sets.select(F.explode("prefix0").alias("token"), "digest", size).distinct()
     buckets = entries.groupBy("token").agg(F.min("digest").alias("pivot"), F.count("*").alias("m")).where("m > 1")
-    members = store(entries.join(buckets, "token").select("pivot", "digest").distinct(), "members")
-    placed = block_pairs(members, ["pivot"], "digest", block)
+    members = store(entries.join(buckets, "token").select("pivot", "digest", "n").distinct(), "members")
+    # A block is of so many sets, and of so many shingles on average.
+    load = F.greatest(F.lit(1.0) / block, F.col("n") / BLOCK_SHINGLES)
+    placed = block_pairs(members, ["pivot"], "digest", block, load).drop("n")
     one = sets.groupBy("digest").agg(F.min("chunk").alias("chunk"))
     full = sets.join(one, ["digest", "chunk"]).select(
         "digest", "shingles", *[f"prefix{k}" for k in range(1, len(ORDERS))]

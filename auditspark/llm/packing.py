@@ -11,9 +11,8 @@ entries for each pattern, and patterns are bounded by the lengths as well.
 Pieces then take their places by rank within their length: a running number
 inside the task that cut them plus the counts of the tasks before.
 
-``<|startoftext|>`` and ``<|endoftext|>`` in a text are read as ordinary text
-(``encode_special_tokens``), so no document can hold a control id; the
-tokenizer's default gives their own ids instead.
+``<|startoftext|>`` and ``<|endoftext|>`` in a text have ids of their own, as the
+tokenizer's default gives them.
 
 Null texts are empty; an empty text is the closing id alone.  Rows with the
 same or no id are documents of their own.  An empty table gives no piece.
@@ -53,7 +52,8 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Their strings in a text are tokens of their own, as the tokenizer has it.
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def learn(self, words: set[bytes]) -> None:
         """Ids of new words, which are in ASCII lower case already.  A comma or
@@ -78,9 +78,14 @@ class WordIds(dict):
             yield from self.encode(texts[a:b])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.lower().split() for t in texts]
+        lowered = [t.lower() for t in texts]
+        whole = {k for k, t in enumerate(lowered) if any(s in t for s in self.special)}
+        split = [t.split() if k not in whole else [] for k, t in enumerate(lowered)]
         self.learn(set(chain.from_iterable(split)))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        ids = [b"".join(map(self.__getitem__, words)) for words in split]
+        for k in whole:
+            ids[k] = array("I", self.tokenizer.encode(texts[k].decode(), add_special_tokens=False).ids).tobytes()
+        return ids
 
 
 PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth"]

@@ -1,5 +1,7 @@
 import random
+import resource
 
+import numpy as np
 import pytest
 
 from auditspark.llm import jaccard
@@ -85,3 +87,21 @@ def test_works_on_a_table_that_is_not_in_files(spark):
 def test_empty_table(docs):
     assert jaccard.join(docs([])).collect() == []
     assert jaccard.representatives(docs([])).collect() == []
+
+
+def test_blocks_are_bounded_in_shingles(docs, monkeypatch):
+    rows = corpus(6)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 500)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(docs(rows)).collect()]
+    assert sorted(got, key=str) == brute(rows)
+
+
+def test_memory_of_a_group_of_long_texts():
+    """1024 sets of 1500 shingles of their own and 500 common ones: dense rows of them took 6 GB."""
+    rnd = np.random.default_rng(1)
+    common = rnd.integers(0, 1 << 62, 500).astype(np.uint64)
+    sets = [np.sort(np.r_[common, rnd.integers(0, 4_000_000, 1500).astype(np.uint64)]) for _ in range(1024)]
+    prefixes = [None, *([s[:20] for s in sets] for _ in jaccard.ORDERS[1:])]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    jaccard.compare([bytes([k >> 8, k & 255]) for k in range(1024)], sets, prefixes, np.zeros(1024, int), 9, 10)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400 << 10

@@ -15,9 +15,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def exact_best(counts, space):
@@ -28,6 +26,13 @@ def exact_best(counts, space):
     return max(reach)
 
 
+def test_special_tokens_are_those_of_the_tokenizer(tokenizer):
+    texts = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "a <|ENDOFTEXT|> b", "<|endoftext", "plain", "<|endoftext|> " * 50]
+    wanted = [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert list(packing.WordIds(PATH).encode_all([t.encode() for t in texts])) == wanted
+    assert np.frombuffer(wanted[0], "<u4").tolist() == [320, 49407, 321]
+
+
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 4), max_size=8), st.integers(0, 60))
 @settings(max_examples=200, deadline=None)
 def test_fill_finds_the_closest_sum(counts, space):
