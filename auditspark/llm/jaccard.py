@@ -29,6 +29,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from auditspark.operators.joins import lookup_join
+
 from .chunks import NO_ID, based, chunked, pack_sorted, row_place, unpack_sorted
 from .common import block_pairs, release, row_groups, store
 from .components import components
@@ -264,18 +266,20 @@ def grouped(rows: DataFrame, width: int, threshold: tuple[int, int]) -> tuple[Da
     sets = known.where("shingles is not null")
     found = components(store(links(sets, *threshold), "similar"))
     classes = known.where("n > 0").groupBy("digest").agg(F.min("doc").alias("least"))
-    rooted = classes.join(found.withColumnRenamed("node", "digest"), "digest", "left").select(
+    rooted = store(classes.join(found.withColumnRenamed("node", "digest"), "digest", "left").select(
         "digest", "least", F.coalesce("root", "digest").alias("root")
-    )
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root")
-    return known.select("doc", "n", "digest", "f", "r"), named.select("digest", "root", "component")
+    ), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    # A large component is one root, and copies share one digest: neither is joined in one task.
+    named = store(lookup_join(rooted, least, ["root"], "inner", ["digest"]).select("digest", "root", "component"), "named")
+    return known.select("doc", "n", "digest", "f", "r"), named
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
          threshold: tuple[int, int] = (9, 10)) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     known, named = grouped(chunked(based(docs), id_col, text_col, *row_place()), width, threshold)
-    out = known.join(named, "digest", "left")
+    out = lookup_join(known, named, ["digest"], "left", ["f", "r"])
     null_if_none = lambda c: F.when(c != NO_ID, c)
     return out.select(
         null_if_none(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"),
@@ -290,7 +294,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their own and all stay."""
     docs = based(docs)
     known, named = grouped(chunked(docs, id_col, text_col, *row_place()), width, threshold)
-    linked = known.where("n > 0").join(named, "digest")
+    linked = lookup_join(known.where("n > 0"), named, ["digest"], "inner", ["f", "r"])
     first = linked.groupBy("root").agg(F.min(F.struct("doc", "f", "r")).alias("p")).select("p.f", "p.r")
     kept = first.unionByName(known.where("n = 0").select("f", "r"))
     names = [f"c{k}" for k in range(len(docs.columns))]
