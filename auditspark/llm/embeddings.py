@@ -30,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from auditspark.operators.joins import lookup_join
+
 from .common import block_pairs, per_process, row_groups, store
 from .components import components
 
@@ -207,12 +209,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = store(together.mapInArrow(run, "a binary, b binary, links long"), "links")
     degrees = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     roots = components(found.where("b is not null")).withColumnRenamed("node", "key")
-    known = classes.select("key", "copies", "least").join(roots, "key", "left").join(degrees, "key", "left").select(
+    known = store(classes.select("key", "copies", "least").join(roots, "key", "left").join(degrees, "key", "left").select(
         "key", "copies", "least", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links")
-    )
+    ), "rooted")
     smallest = known.groupBy("root").agg(F.min("least").alias("component"))
-    known = known.join(smallest, "root").select("key", (F.col("links") + F.col("copies") - 1).alias("n"), "component")
-    out = rows.select("id", "key").join(known, "key", "left")
+    # A large component is one root, and copies share one key: neither is joined in one task.
+    known = lookup_join(known, smallest, ["root"], "inner", ["key"])
+    known = store(known.select("key", (F.col("links") + F.col("copies") - 1).alias("n"), "component"), "named")
+    out = lookup_join(rows.select("id", "key"), known, ["key"], "left", ["id"])
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(
         F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).alias("n_links"), component.alias("component_id"),
