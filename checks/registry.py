@@ -137,6 +137,16 @@ def t_p(t: str, df: str, points: int = 20000) -> str:
     return f"(2 * {const} * {total} * {h} / 3)"
 
 
+def z_p(z: str, points: int = 2000) -> str:
+    """Two-sided normal probability by Simpson's rule on Craig's form of the tail."""
+    h = f"(pi() / 2 / {points})"
+    total = (
+        f"list_sum(list_transform(range(1, {points + 1}), lambda i: "
+        f"(case when i = {points} then 1 when i % 2 = 1 then 4 else 2 end) * exp(-({z}) * ({z}) / (2 * power(sin(i * {h}), 2)))))"
+    )
+    return f"(case when {z} = 0 then 1 else 2 / pi() * {total} * {h} / 3 end)"
+
+
 # Welch's statistics from n1, mean1, var1, n2, mean2, var2.
 WELCH = {
     "diff": "mean1 - mean2",

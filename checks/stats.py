@@ -11,7 +11,7 @@ from auditspark.plans.fixtures import COLS
 from auditspark.session import materialize
 
 from .quality import UPLIFTS, long_rows, row_table, stored_rows, uplifts
-from .registry import WELCH, audit, query, r, t_p, two_groups, u52
+from .registry import WELCH, audit, n, query, r, t_p, two_groups, u52, z_p
 
 
 def biased(spark, d):
@@ -352,22 +352,71 @@ HC3 = f""", g as (select model_id, block_id, count(*) as nb, avg(is_ai::int) as
  f as (select b.model_id, n, beta, sqrt(s) / sdd as se, 1 - sse / (select var_pop(spb) * count(*) from spb where spb.model_id = b.model_id) as r2 from b join v on b.model_id = v.model_id)"""
 
 
-@query("t18_absorbed_hc3", audit(f"{HC3} select model_id, n, {r('beta', 'label_coef')}, {r('se', 'label_se')}, {r('beta / se', 'label_z')} from f"))
+INTERVAL = f"{r(z_p('beta / se'), 'label_p')}, {r(f'beta - {Z} * se', 'ci_low')}, {r(f'beta + {Z} * se', 'ci_high')}"
+
+
+@query("t18_absorbed_hc3", audit(f"{HC3} select model_id, n, {r('beta', 'label_coef')}, {r('se', 'label_se')}, {r('beta / se', 'label_z')}, {INTERVAL} from f"))
 def t18(spark, d):
     out = regression.absorbed_hc3(biased(spark, d), "model_id", "spb", "is_ai", "block_id")
-    return out.select("model_id", "n", "label_coef", "label_se", "label_z")
+    return out.select("model_id", "n", "label_coef", "label_se", "label_z", "label_p", "ci_low", "ci_high")
 
 
 @query(
     "t17_ols_hc3_one_factor",
-    audit(f"{HC3} select model_id, n, {r('beta', 'label_coef')}, {r('se', 'label_se')}, {r('beta / se', 'label_z')}, {r('r2', 'r2')} from f"),
+    audit(f"{HC3} select model_id, n, {r('beta', 'label_coef')}, {r('se', 'label_se')}, {r('beta / se', 'label_z')}, {INTERVAL}, {r('r2', 'r2')} from f"),
 )
 def t17_one(spark, d):
     out = regression.ols_hc3(biased(spark, d), "model_id", "spb", "is_ai", "block_id", [], [])
-    return out.select("model_id", "n", "label_coef", "label_se", "label_z", "r2")
+    return out.select("model_id", "n", "label_coef", "label_se", "label_z", "label_p", "ci_low", "ci_high", "r2")
+
+
+# Dense dummies with an intercept, inverted by a Gauss-Jordan sweep that skips dependent
+# columns; the label stands last, the right-hand side beside the matrix.
+CONTROLS = f""", o as (select model_id, spb as y, is_ai::int::double as lab, ln(1 + positions::double) as lp, state, status_code, segment from spb),
+ c as (select *, row_number() over (order by model_id, state, status_code, segment, lp, lab) as cell from (
+   select model_id, state, status_code, segment, lp, lab, count(*) as n, avg(y) as ym, var_pop(y) * count(*) as m2 from o group by all)),
+ x as (select cell, model_id, n, ym, m2, unnest([{{'g': 0, 'f': '', 'x': 1::double}}, {{'g': 1, 'f': state, 'x': 1::double}}, {{'g': 2, 'f': status_code, 'x': 1::double}},
+   {{'g': 3, 'f': segment, 'x': 1::double}}, {{'g': 4, 'f': '', 'x': lp}}, {{'g': 5, 'f': '', 'x': lab}}]) as e from c),
+ lv as (select *, row_number() over (partition by model_id order by g, f) as i from (select distinct model_id, e.g as g, e.f as f from x)),
+ z as (select x.cell, x.model_id, x.n, x.ym, x.m2, lv.i, x.e.x as x from x join lv on x.model_id = lv.model_id and x.e.g = lv.g and x.e.f = lv.f),
+ size as (select model_id, max(i) as p from lv group by model_id),
+ gram as (select a.model_id, a.i, b.i as j, sum(a.n * a.x * b.x) as v from z a join z b on a.cell = b.cell group by all
+   union all select z.model_id, z.i, p + 1, sum(n * x * ym) from z join size on z.model_id = size.model_id group by all),
+ grid as (select a.model_id, a.i, t.j, p from lv a join size on a.model_id = size.model_id, lateral (select unnest(range(1, p + 2)) as j) t),
+ matrix_rows as (select grid.model_id, grid.i, max(p) as p, list(coalesce(v, 0) order by grid.j) as line
+   from grid left join gram on grid.model_id = gram.model_id and grid.i = gram.i and grid.j = gram.j group by all),
+ sweep as (
+  select model_id, 0 as k, max(p) as p, list(line order by i) as m, list(line[i] order by i) as d from matrix_rows group by model_id
+  union all
+  select model_id, k + 1, p, list_transform(range(1, p + 1), lambda i: list_transform(range(1, p + 2), lambda j: case
+    when m[k+1][k+1] < 1e-9 * d[k+1] then case when i = k + 1 or j = k + 1 then 0 else m[i][j] end
+    when i = k + 1 and j = k + 1 then 1 / m[k+1][k+1]
+    when i = k + 1 then m[i][j] / m[k+1][k+1]
+    when j = k + 1 then -m[i][j] / m[k+1][k+1]
+    else m[i][j] - m[i][k+1] * m[k+1][j] / m[k+1][k+1] end)), d
+  from sweep where k < p),
+ solved as (select model_id, p, unnest(range(1, p + 1)) as i, unnest(m) as line from sweep where k = p),
+ inv as (select model_id, p, i, unnest(range(1, p + 2)) as j, unnest(line) as v from solved),
+ quad as (select a.cell, sum(a.x * b.x * v) as lev from z a join z b on a.cell = b.cell join inv on inv.model_id = a.model_id and inv.i = a.i and inv.j = b.i group by a.cell),
+ dots as (select z.cell, max(z.model_id) as model_id, max(n) as n, max(ym) as ym, max(m2) as m2, sum(x * beta.v) as fit, sum(x * own.v) as a from z
+   join inv beta on beta.model_id = z.model_id and beta.i = z.i and beta.j = beta.p + 1
+   join inv own on own.model_id = z.model_id and own.i = z.i and own.j = own.p group by z.cell),
+ h as (select dots.*, 1 - lev as rest, m2 + n * power(ym - fit, 2) as sse from dots join quad on dots.cell = quad.cell),
+ s as (select model_id, sum(n) as n, sqrt(sum(case when abs(rest) < 1e-9 then 0 else a * a * sse / (rest * rest) end)) as se,
+   sum(case when abs(rest) < 1e-9 then n else 0 end) as ones, bool_or(abs(rest) < 1e-9 and abs(a) > 1e-9) as hangs,
+   1 - sum(sse) / (sum(m2 + n * ym * ym) - power(sum(n * ym), 2) / sum(n)) as r2 from h group by model_id),
+ f as (select s.*, b.v as beta, b.v / se as zed, case when n < 10 then 'too_few_rows' when l.v <= 0 then 'not_estimable' when hangs then 'leverage_one' else 'ok' end as status from s
+   join inv b on b.model_id = s.model_id and b.i = b.p and b.j = b.p + 1 join inv l on l.model_id = s.model_id and l.i = l.p and l.j = l.p)"""
 
 
-@query("t17_ols_hc3_controls")
+@query(
+    "t17_ols_hc3_controls",
+    audit(
+        CONTROLS
+        + f""" select model_id, {n('n', 'n')}, {r('beta', 'label_coef')}, {r('se', 'label_se')}, {n('ones', 'n_leverage_one')}, {r('r2', 'r2')}, status, {r('zed', 'label_z')},
+ {r(z_p('zed'), 'label_p')}, {r(f'beta - {Z} * se', 'ci_low')}, {r(f'beta + {Z} * se', 'ci_high')} from f"""
+    ).replace("with ", "with recursive ", 1),
+)
 def t17(spark, d):
     rows = biased(spark, d).withColumn("log_positions", F.log1p("positions"))
     return regression.ols_hc3(rows, "model_id", "spb", "is_ai", "state", ["status_code", "segment"], ["log_positions"])
