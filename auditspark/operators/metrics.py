@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..columns import DEFAULT, DIFF_USD, IS_AI, LOG_RATIO, MEAN_PCT, MEAN_USD, PCT_POINTS, RATIO, AuditColumns
 from ..functions.numeric import signed_pct_bias
@@ -48,7 +48,8 @@ def row_averages(df: DataFrame, c: AuditColumns = DEFAULT, base: list[str] | Non
     """One row per observation with its averages over models.
 
     The observation's own columns ride along in the same aggregate instead of a
-    join back. A group holds one row per model, which bounds the medians.
+    join back. A group holds one row per model; its answers are gathered in one
+    short array, whose sorted fields give the medians.
     """
     wanted = base or [
         c.title, c.soc_code, c.soc_title, c.city, c.state, c.naics, c.full_time, c.positions, c.wage_level,
@@ -57,17 +58,34 @@ def row_averages(df: DataFrame, c: AuditColumns = DEFAULT, base: list[str] | Non
     kept = [b for b in dict.fromkeys(wanted) if b in df.columns]
     est = F.col(c.estimate).cast("double")
     picked = F.min_by(F.struct(*kept), F.col(c.model)).alias("__base")
+    answers = {"e": est, "u": F.col(DIFF_USD), "p": F.col(PCT_POINTS)}
+
+    def median(name: str) -> Column:
+        values, n = F.sort_array(F.col("__all")[name]), F.col("__n_" + name)  # missing values first
+        first = F.size(values) - n.cast("int")
+        at = lambda i: F.get(values, first + i)
+        return F.when(n > 0, (at(F.expr(f"int((__n_{name} - 1) div 2)")) + at(F.expr(f"int(__n_{name} div 2)"))) / 2)
+
     out = df.groupBy(c.row_id).agg(
         picked,
-        F.size(F.collect_set(c.model)).cast("bigint").alias("n_models"),
+        F.collect_list(F.struct(F.col(c.model).alias("m"), *[v.alias(k) for k, v in answers.items()])).alias("__all"),
+        *[F.count(v).alias("__n_" + k) for k, v in answers.items()],
         F.avg(est).alias("mean_predicted_salary_usd"),
-        F.median(est).alias("median_predicted_salary_usd"),
         F.avg(DIFF_USD).alias(MEAN_USD),
-        F.median(DIFF_USD).alias("median_overestimation_usd"),
         F.avg(PCT_POINTS).alias(MEAN_PCT),
-        F.median(PCT_POINTS).alias("median_overestimation_pct_points"),
         F.avg(RATIO).alias("mean_prediction_to_actual_ratio"),
         F.avg(LOG_RATIO).alias("mean_log_prediction_minus_log_actual"),
     )
-    measures = [x for x in out.columns if x not in (c.row_id, "__base")]
-    return out.select(c.row_id, "__base.*", *measures)
+    return out.select(
+        c.row_id,
+        "__base.*",
+        F.size(F.array_compact(F.array_distinct(F.col("__all")["m"]))).cast("bigint").alias("n_models"),
+        "mean_predicted_salary_usd",
+        median("e").alias("median_predicted_salary_usd"),
+        MEAN_USD,
+        median("u").alias("median_overestimation_usd"),
+        MEAN_PCT,
+        median("p").alias("median_overestimation_pct_points"),
+        "mean_prediction_to_actual_ratio",
+        "mean_log_prediction_minus_log_actual",
+    )

@@ -56,21 +56,29 @@ def prediction_vector_qc(df: DataFrame, c: AuditColumns = DEFAULT) -> DataFrame:
 
     The fingerprint is the count and the sums of two digests per row: it combines
     in partial aggregates, never gathers a model's vector, and repeated rows count
-    as often as they occur. Predictions are
+    as often as they occur. Each digest is summed in two halves of 26 bits, which
+    stay within a long up to 10^11 rows. Predictions are
     counted per (model, prediction) first for the distinct count.
     """
     est = F.col(c.estimate).cast("double")
     high, low = fingerprint_parts(F.col(c.row_id), F.bround(est, 0).cast("bigint"))
-    per_value = df.groupBy(c.model, c.estimate).agg(
+    halves = {"h": high, "l": low}
+    upper = lambda part: F.sum(F.shiftright(part, 26))
+    lower = lambda part: F.sum(part.bitwiseAND(F.lit((1 << 26) - 1)))
+    whole = lambda name: (
+        F.sum(name + "1").cast("decimal(28,0)") * F.lit(1 << 26).cast("decimal(9,0)") + F.sum(name + "0")
+    ).cast("decimal(38,0)")
+    digests = df.select(c.model, c.row_id, c.estimate, *[part.alias(name) for name, part in halves.items()])
+    per_value = digests.groupBy(c.model, c.estimate).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(high.cast("decimal(20,0)")).alias("h"),
-        F.sum(low.cast("decimal(20,0)")).alias("l"),
+        *[upper(F.col(name)).alias(name + "1") for name in halves],
+        *[lower(F.col(name)).alias(name + "0") for name in halves],
     )
     values = per_value.groupBy(c.model).agg(
         model_family(F.first(F.col(c.model).cast("string"))).alias("model_family"),
         F.sum("n").alias("n_rows"),
-        F.sum("h").alias("__h"),
-        F.sum("l").alias("__l"),
+        whole("h").alias("__h"),
+        whole("l").alias("__l"),
         F.count(c.estimate).alias("n_unique_predicted_salaries"),
         F.min(F.col(c.estimate).cast("double")).alias("min_predicted_salary_usd"),
         F.max(F.col(c.estimate).cast("double")).alias("max_predicted_salary_usd"),

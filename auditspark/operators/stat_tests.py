@@ -3,6 +3,10 @@ step (tail probabilities) sees one row per group."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..columns import DEFAULT, DELTA_PCT, IS_AI, MEAN_PCT, PCT_POINTS, AuditColumns
@@ -323,7 +327,7 @@ def exact_null(uplifts: DataFrame, second: str = "closed", c: AuditColumns = DEF
 
     A split is a bit mask over the numbered units (one row per model). More than
     ``max_units`` units leave no usable number of splits: use the permutation
-    test, which is the general way.
+    test, or ``exact_split_test``, which counts splits by halves.
     """
     whole = Window.partitionBy(F.lit(0))
     numbered = uplifts.withColumns(
@@ -343,6 +347,108 @@ def exact_null(uplifts: DataFrame, second: str = "closed", c: AuditColumns = DEF
     return _split_means(masks, ["mask"], taken)
 
 
+def _half_sums(units: DataFrame, half: int, n_half: int) -> DataFrame:
+    """Every subset of one half of the units: its size and sum."""
+    values = units.where(F.col("half") == half).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("bit", "uplift"))), lambda e: e["uplift"]).alias("vs")
+    )
+    masks = units.sparkSession.range(1 << n_half).withColumnRenamed("id", "mask")
+    taken = F.aggregate(
+        F.sequence(F.lit(0), F.lit(n_half - 1)) if n_half else F.array().cast("array<int>"),
+        F.lit(0.0),
+        lambda total, b: total + F.when(F.getbit(F.col("mask"), b) == 1, F.get("vs", b)).otherwise(0.0),
+    )
+    with_values = masks.withColumn("vs", values.select("vs").scalar())
+    return with_values.select(F.bit_count("mask").cast("int").alias("k"), taken.alias("s"))
+
+
+def _count_up_to(cuts: list[float]):
+    """Pairs of one subset per half whose sum is at most each cut."""
+
+    def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b = left.s.to_numpy(), np.sort(right.s.to_numpy())
+        counts = [int(np.searchsorted(b, cut - a, side="right").sum()) for cut in cuts]
+        return pd.DataFrame({"at": range(len(cuts)), "n": counts})
+
+    return count
+
+
+def exact_split_test(
+    uplifts: DataFrame, second: str = "closed", c: AuditColumns = DEFAULT, max_units: int = 48, pivots: int = 64
+) -> DataFrame:
+    """Exact permutation test for more units than can be split one by one.
+
+    The difference of the cohort means grows with the sum of the second cohort,
+    and such a sum is a subset sum of each half of the units. So 2^(n/2) sums
+    per half, grouped by subset size, hold all splits: the pairs with a sum up
+    to a value are counted by searching one sorted half for each sum of the other.
+    p is two such counts; the quantiles are order statistics found by rounds of
+    ``pivots`` counts, to 1e-12 of the range. Rows and columns as
+    ``permutation_summary``. Values within 1e-12 count as equal.
+    """
+    spark = uplifts.sparkSession
+    order = Window.partitionBy(F.lit(0)).orderBy(c.model)  # a row per unit
+    numbered = uplifts.select(c.model, F.col("uplift").cast("double").alias("uplift"), (F.col(c.cohort) == second).alias("__second"))
+    numbered = numbered.withColumn("place", F.row_number().over(order) - 1)
+    size = numbered.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("__second").alias("n2"), F.sum("uplift").alias("total"),
+        F.sum(F.when(F.col("__second"), F.col("uplift"))).alias("s2"), F.sum(F.abs("uplift")).alias("spread"),
+    ).first()
+    n, n2 = size["n"], size["n2"]
+    if n > max_units:
+        raise ValueError(f"{n} units; exact splits hold for at most {max_units}, use permutation_null")
+    if not 0 < n2 < n:
+        raise ValueError("both cohorts need units")
+    n_left = n // 2
+    halved = materialize(
+        numbered.select("uplift", "place", (F.col("place") >= n_left).cast("int").alias("half"))
+        .withColumn("bit", F.when(F.col("half") == 0, F.col("place")).otherwise(F.col("place") - n_left))
+        .select("half", "bit", "uplift"),
+        "units",
+    )
+    left = materialize(_half_sums(halved, 0, n_left), "left_sums")
+    right = materialize(_half_sums(halved, 1, n - n_left).withColumn("k", F.lit(n2) - F.col("k")), "right_sums")
+
+    def counts(cuts: list[float]) -> list[int]:
+        pairs = left.groupBy("k").cogroup(right.groupBy("k")).applyInPandas(_count_up_to(cuts), "at int, n long")
+        found = {row["at"]: row["n"] for row in pairs.groupBy("at").agg(F.sum("n").alias("n")).collect()}  # a row per cut
+        return [found[i] for i in range(len(cuts))]
+
+    n1, total = n - n2, size["total"]
+    diff = lambda s: s / n2 - (total - s) / n1
+    sum_of = lambda d: (d + total / n1) / (1.0 / n2 + 1.0 / n1)
+    observed = diff(size["s2"])
+    far, width = abs(observed) - 1e-12, max(size["spread"], 1e-300)
+    low, high, everything = -2 * width, 2 * width, math.comb(n, n2)
+    if far <= 0:
+        extreme = everything
+    else:
+        below, under = counts([sum_of(-far), float(np.nextafter(sum_of(far), -np.inf))])
+        extreme = below + everything - under
+
+    def order_statistics(ranks: list[int]) -> list[float]:
+        brackets = [(low, high)] * len(ranks)
+        while max(hi - lo for lo, hi in brackets) > 1e-12 * width:
+            cuts = [lo + (hi - lo) * j / (pivots + 1) for lo, hi in brackets for j in range(1, pivots + 1)]
+            seen = counts(cuts)
+            for r, rank in enumerate(ranks):
+                lo, hi = brackets[r]
+                for cut, many in zip(cuts[r * pivots : (r + 1) * pivots], seen[r * pivots : (r + 1) * pivots]):
+                    if many > rank:
+                        hi = cut
+                        break
+                    lo = cut
+                brackets[r] = (lo, hi)
+        return [hi for _, hi in brackets]
+
+    places = [q * (everything - 1) for q in (0.025, 0.975)]
+    ranks = [min(math.floor(p) + step, everything - 1) for p in places for step in (0, 1)]
+    found = [diff(s) for s in order_statistics(ranks)]
+    quantile = [found[2 * i] + (found[2 * i + 1] - found[2 * i]) * (p - math.floor(p)) for i, p in enumerate(places)]
+    row = (everything, observed, extreme / everything, quantile[0], quantile[1])
+    return spark.createDataFrame([row], "n_permutations long, observed_diff double, p_value double, null_low double, null_high double")
+
+
 def permutation_summary(null: DataFrame, uplifts: DataFrame, second: str = "closed", c: AuditColumns = DEFAULT) -> DataFrame:
     """Observed difference, two-sided p and central 95 % of the null.
 

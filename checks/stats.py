@@ -271,6 +271,24 @@ def t12(spark, d):
     return stat_tests.permutation_summary(stat_tests.exact_null(u, "closed", COLS), u, "closed", COLS)
 
 
+@query(
+    "t12_exact_split_test",
+    audit(
+        f""", up as (select cohort, model_id || ' ' || status_code as unit, avg(spb) filter (is_ai) - avg(spb) filter (not is_ai) as uplift from spb group by all),
+ u as (select * from (select *, row_number() over (order by unit) - 1 as bit, count(*) over () as n, count(*) filter (cohort = 'closed') over () as n2,
+   sum(uplift) over () as total, (select avg(uplift) filter (cohort = 'closed') - avg(uplift) filter (cohort = 'open') from up) as obs from up where uplift is not null)),
+ w as (select list(uplift order by bit) as us, max(n) as n, max(n2) as n2, max(total) as total, max(obs) as obs from u),
+ m as (select unnest(range(0, 1::bigint << n)) as mask, us, n, n2, total, obs from w),
+ d as (select obs, list_sum(list_transform(us, lambda x, i: case when (mask >> (i - 1)) & 1 = 1 then x / n2 else -x / (n - n2) end)) as diff from m where bit_count(mask) = n2)
+ select count(*) as n_permutations, {r('max(obs)', 'observed_diff')}, {r('avg(case when abs(diff) >= abs(obs) - 1e-12 then 1.0 else 0.0 end)', 'p_value')},
+  {r('quantile_cont(diff, 0.025)', 'null_low')}, {r('quantile_cont(diff, 0.975)', 'null_high')} from d"""
+    ),
+)
+def t12_halves(spark, d):
+    rows = biased(spark, d).withColumn("model_id", F.concat_ws(" ", "model_id", "status_code"))
+    return stat_tests.exact_split_test(metrics.model_uplift(rows, ["cohort", "model_id"], COLS), "closed", COLS)
+
+
 @query("t13_between_cohorts", audit(welch_sql("spb", "is_ai", "spb", "cohort = 'closed'", BASIC)))
 def t13(spark, d):
     return stat_tests.cohort_label_welch(biased(spark, d), c=COLS).select("is_ai", *BASIC)

@@ -52,6 +52,45 @@ def test_controls_equal_dense(spark):
     assert got["ci_low"] == pytest.approx(beta - 1.959963984540054 * se, rel=1e-8)
 
 
+def test_many_levels_in_tiles(spark):
+    """2 000 levels beside the absorbed factor: 16 blocks of pivots, against a dense inverse."""
+    rng = np.random.default_rng(11)
+    n, n_levels, n_absorbed = 7000, 2000, 6
+    level, absorbed = np.r_[np.arange(n_levels), rng.integers(n_levels, size=n - n_levels)], rng.integers(n_absorbed, size=n)
+    label, y = rng.random(n) < 0.4, rng.normal(size=n)
+    rows = [("m", float(y[i]), bool(label[i]), f"a{absorbed[i]}", f"l{level[i]}") for i in range(n)]
+    df = spark.createDataFrame(rows, "key string, y double, label boolean, a string, l string")
+    got = regression.ols_hc3(df, "key", "y", "label", "a", ["l"], []).first()
+
+    x = np.zeros((n, 1 + n_absorbed + n_levels))
+    x[:, 0] = label
+    x[np.arange(n), 1 + absorbed] = 1
+    x[np.arange(n), 1 + n_absorbed + level] = 1
+    inverse = np.linalg.pinv(x.T @ x, rcond=1e-10, hermitian=True)
+    beta = inverse @ (x.T @ y)
+    resid, lev, a = y - x @ beta, np.einsum("ij,ij->i", x @ inverse, x), x @ inverse[0]
+    usual = lev < 1 - 1e-9
+    se = np.sqrt((a[usual] ** 2 * resid[usual] ** 2 / (1 - lev[usual]) ** 2).sum())
+    assert got["n"] == n and got["status"] == "ok" and got["n_leverage_one"] == int((~usual).sum()) > 0
+    assert got["label_coef"] == pytest.approx(beta[0], rel=1e-7)
+    assert got["label_se"] == pytest.approx(se, rel=1e-7)
+
+
+def test_small_tiles_and_keys_of_unequal_width(spark):
+    wide = [("wide", *row[1:]) for row in _rows()]
+    narrow = [("narrow", *row[1:4], "t1", "Y", row[6]) for row in _rows(seed=8)]
+    df = spark.createDataFrame(wide + narrow, "k string, y double, label boolean, soc string, state string, ft string, lp double")
+    small, large = (
+        {r["k"]: r.asDict() for r in regression.ols_hc3(df, "k", "y", "label", "soc", ["state", "ft"], ["lp"], block=b).collect()}
+        for b in (3, 128)
+    )
+    assert small.keys() == large.keys() == {"wide", "narrow"}
+    for key, row in small.items():
+        assert row["status"] == large[key]["status"] == "ok"
+        for name in ("n", "n_leverage_one", "label_coef", "label_se", "r2"):
+            assert row[name] == pytest.approx(large[key][name], rel=1e-8)
+
+
 def test_statuses(spark):
     schema = "k string, y double, label boolean, soc string, state string"
     few = [("few", float(i), i % 2 == 0, "a", "x") for i in range(6)]
