@@ -15,6 +15,7 @@ from ..functions.text import (
 from ..operators.filters import require_columns, require_empty, require_min_models
 from ..operators.joins import first_per_key, left_join_renamed, lookup_join
 from ..operators.quality import duplicate_rows
+from .split_csv import read_split_csv
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
@@ -22,9 +23,8 @@ CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Parquet or CSV by suffix. CSV columns are strings unless a schema is given.
 
-    CSV with quoted line breaks cannot be split, so a large CSV should be read
-    once and stored as Parquet; pass ``multiLine=False`` data through
-    ``read_csv`` to split files.
+    Spark does not split a CSV file that may hold quoted line breaks; read large
+    ones through ``split_csv.read_split_csv``, which does.
     """
     if path.rstrip("/*").lower().endswith(".parquet"):
         reader = spark.read.schema(schema) if schema else spark.read
@@ -119,12 +119,13 @@ def _matches(spark: SparkSession, pattern: str) -> list[str]:
 
 
 def scan_predictions(
-    spark: SparkSession, pattern: str, c: AuditColumns = DEFAULT, skip_unusable: bool = False
+    spark: SparkSession, pattern: str, c: AuditColumns = DEFAULT, skip_unusable: bool = False, split_files: bool = False
 ) -> tuple[DataFrame, list[str]]:
     """All matching per-model files as one long table, and the files skipped.
 
     Only headers are looked at to group files by layout: one scan per layout,
-    not per file, and the model comes from the file's own path.
+    not per file, and the model comes from the file's own path. ``split_files``
+    reads large CSV files by many tasks each, for one shuffle of their lines.
     """
     paths = _matches(spark, pattern)
     if not paths:
@@ -145,12 +146,15 @@ def scan_predictions(
     if not layouts:
         raise ValueError(f"no usable prediction file among {paths}")
     parts = []
-    for files in layouts.values():
+    for names, files in layouts.items():
         if files[0].lower().endswith(".parquet"):
-            df = spark.read.parquet(*files)
+            df = spark.read.parquet(*files).withColumn("__path", F.col("_metadata.file_path"))
+        elif split_files:
+            strings = T.StructType([T.StructField(name, T.StringType()) for name in names])
+            df = read_split_csv(spark, files, strings, file_column="__path")
         else:
-            df = spark.read.options(**CSV_OPTIONS).csv(files)
-        parts.append(tag_predictions(df.withColumn("__path", plain_path(F.col("_metadata.file_path"))), F.col("__path"), c).drop("__path"))
+            df = spark.read.options(**CSV_OPTIONS).csv(files).withColumn("__path", F.col("_metadata.file_path"))
+        parts.append(tag_predictions(df.withColumn("__path", plain_path(F.col("__path"))), F.col("__path"), c).drop("__path"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)

@@ -8,7 +8,7 @@ from auditspark.operators import filters, scoring
 from auditspark.plans import analysis, fixtures as fx
 from auditspark.plans.fixtures import COLS, table
 from auditspark.session import scratch_path
-from auditspark.sources import ledger, readers, writers
+from auditspark.sources import ledger, readers, split_csv, writers
 
 from .quality import keyed_rows
 from .registry import audit, query, r
@@ -24,6 +24,18 @@ def s1(spark, d):
     return readers.read_csv(spark, path, df.schema)
 
 
+QUOTED_TEXT = "replace(concat('\"', text, '\"'), ' the ', concat(chr(10), '\"the\", '))"
+
+
+@query("s1_scan_split_csv", f"select doc_id, {QUOTED_TEXT} as text from documents")
+def s1_split(spark, d):
+    """Whole texts with line breaks, quotes and commas, read by as many tasks as the file has splits."""
+    df = table(spark, d, "documents").select("doc_id", F.expr(QUOTED_TEXT).alias("text"))
+    path = scratch_path(spark, "texts")
+    df.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return split_csv.read_split_csv(spark, path, df.schema)
+
+
 @query("s1_scan_parquet", f"select s_suppkey, s_name, {r('s_acctbal', 's_acctbal')} from supplier")
 def s1_parquet(spark, d):
     return readers.read_table(spark, f"{d}/supplier.parquet").select("s_suppkey", "s_name", "s_acctbal")
