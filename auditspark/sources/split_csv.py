@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
+from ..operators.joins import lookup_join
+from ..session import materialize
+
 _FILE, _SPLIT = "__file", "__split"
 _QUOTED = r'"(?:[^"]|"")*+"(?!")'
 
@@ -81,17 +84,20 @@ def read_split_csv(
     split. Without a schema the columns are strings named by the first file. All
     files share one layout. Blank lines between records are no rows. Only the
     lines of records that span several lines are grouped, a record at a time.
-    ``file_column`` adds the URI of each row's file.
+    ``file_column`` adds the URI of each row's file. The lines are stored in the
+    shared folder when this is called.
     """
     if schema is None:
         reader = spark.read.options(header=True, quote='"', escape='"', sep=delimiter)
         schema = reader.csv(paths).schema  # reads the first line; names hold no line breaks
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    lines = _lines(spark, paths, delimiter)
-    starts = split_starts(lines)
+    # Where files are split depends on the session at the time, so the lines are stored once.
+    lines = materialize(_lines(spark, paths, delimiter), "lines")
+    starts = materialize(split_starts(lines), "splits")
     within = Window.partitionBy(_FILE, _SPLIT).orderBy("__at")
-    placed = _states(lines.join(starts, [_FILE, _SPLIT]), within, F.col("__start"))
+    # A split has a bounded size, so no key of the join is hot.
+    placed = _states(lookup_join(lines, starts, [_FILE, _SPLIT], "inner", ["__at"], hot=False), within, F.col("__start"))
     begun = F.sum(F.when(F.col("__state") == 0, 1).otherwise(0)).over(within.rowsBetween(Window.unboundedPreceding, 0))
     placed = placed.withColumns(
         {
