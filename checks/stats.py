@@ -176,16 +176,21 @@ def t7(spark, d):
     return stats.select("model_id", "positive", "negative", p_sign(F.col("positive"), F.col("negative")).alias("p_sign"))
 
 
+# 97.5 % points of t for one to three degrees of freedom (fixed values).
+T_CRIT_SMALL = "(case n when 2 then 12.706204736432095 when 3 then 4.302652729911275 when 4 then 3.182446305284263 end)"
+
+
 @query(
     "t8_cohort_one_sample",
     audit(
         f"""select cohort, n, {r('mean', 'mean')}, {r('sd', 'sd')}, {r('sd / sqrt(n)', 'se')}, {r('n - 1', 'df')}, {r('mean / (sd / sqrt(n))', 't')}, {r('mean / sd', 'd')},
-     {r(t_p('(mean / (sd / sqrt(n)))', '(n - 1)'), 'p_two_sided')}
+     {r(t_p('(mean / (sd / sqrt(n)))', '(n - 1)'), 'p_two_sided')},
+     {r(f'mean - {T_CRIT_SMALL} * sd / sqrt(n)', 'ci_low')}, {r(f'mean + {T_CRIT_SMALL} * sd / sqrt(n)', 'ci_high')}
      from (select cohort, count(*) as n, avg(uplift) as mean, stddev_samp(uplift) as sd from {UPLIFTS} group by cohort)"""
     ),
 )
 def t8(spark, d):
-    return stat_tests.cohort_one_sample(uplifts(spark, d), COLS).drop("ci_low", "ci_high")
+    return stat_tests.cohort_one_sample(uplifts(spark, d), COLS)
 
 
 @query(
