@@ -20,6 +20,9 @@ from .joins import lookup_join, upsert
 Scorer = Callable[[list[list[dict]]], list[str]]
 ScorerFactory = Callable[[], Scorer]
 
+#: Characters of the texts that a token encoder gets at a time.
+SLICE_CHARS = 1 << 18
+
 
 def prompt_table(df: DataFrame, personas: list[str], c: AuditColumns = DEFAULT) -> DataFrame:
     """Rows times personas, each with its chat; a literal array, so no join."""
@@ -186,14 +189,29 @@ def simple_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"([{word}]+|[^\s{word}])"), 1)
 
 
+def text_slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[list[str]]:
+    """Neighbouring texts of at most ``most`` characters together, or one longer text."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > most:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 def token_ids(df: DataFrame, text: str, encoder_factory: Callable[[], Callable[[list[str]], list[list[int]]]]) -> DataFrame:
-    """Add ``token_ids`` from a plug-in encoder built once per task."""
+    """Add ``token_ids`` from a plug-in encoder built once per task.  It gets slices of a
+    batch, so the ids of few texts exist at a time whatever the session's batches are."""
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = encoder_factory()
         for texts in batches:
-            yield pd.Series(encoder(texts.fillna("").tolist()), index=texts.index)
+            for some in text_slices(texts.fillna("").tolist()):
+                yield pd.Series(encoder(some), dtype="object")
 
     return df.withColumn("token_ids", encode(F.col(text)))
 

@@ -249,3 +249,15 @@ def test_skipped_files_are_reported(spark, observations, tmp_path):
     assert df.count() == 240 and len(skipped) == 1
     with pytest.raises(ValueError):
         readers.scan_predictions(spark, str(tmp_path / "*" / "part-*.csv"))
+
+
+def slice_lengths():
+    return lambda texts: [[sum(map(len, texts)), len(t)] for t in texts]
+
+
+def test_encoders_get_slices(spark):
+    rows = [(k, None if k % 50 == 0 else "x" * (k * 97 % 20_000)) for k in range(400)] + [(400, "y" * (scoring.SLICE_CHARS + 5))]
+    df = spark.createDataFrame(rows, "k long, text string").coalesce(1)
+    got = {r["k"]: r["token_ids"] for r in scoring.token_ids(df, "text", slice_lengths).collect()}
+    assert {k: v[1] for k, v in got.items()} == {k: len(t or "") for k, t in rows}
+    assert max(v[0] for k, v in got.items() if k != 400) <= scoring.SLICE_CHARS < got[400][0]
