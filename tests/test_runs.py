@@ -11,6 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from auditspark.columns import DEFAULT as C
+from auditspark.functions.prompts import messages_to_text
 from auditspark.operators import filters, quality, scoring
 from auditspark.plans import analysis, compare, estimate, sample
 from auditspark.sources import ledger, readers, writers
@@ -261,3 +262,10 @@ def test_encoders_get_slices(spark):
     got = {r["k"]: r["token_ids"] for r in scoring.token_ids(df, "text", slice_lengths).collect()}
     assert {k: v[1] for k, v in got.items()} == {k: len(t or "") for k, t in rows}
     assert max(v[0] for k, v in got.items() if k != 400) <= scoring.SLICE_CHARS < got[400][0]
+
+
+def test_encoders_get_slices_of_long_conversations(spark):
+    turns = F.expr("transform(sequence(1, 40), t -> struct('user' as role, repeat('word ', 100) as content))")
+    df = spark.range(60).coalesce(1).select(messages_to_text(turns).alias("text"))
+    got = scoring.token_ids(df, "text", slice_lengths).select("token_ids").collect()
+    assert len(got) == 60 and max(r["token_ids"][0] for r in got) <= scoring.SLICE_CHARS
