@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..columns import DEFAULT, AuditColumns
 from ..functions.parse import COMPLETED, INFERENCE_ERROR, parse_answer, parse_digits
 from ..functions.prompts import chat, persona_system, salary_user
-from ..session import materialize
+from ..session import materialize, shuffle_width
 from .filters import unreasonable
 from .joins import lookup_join, upsert
 
@@ -109,18 +109,25 @@ def score_distinct(
 ) -> DataFrame:
     """Score each distinct chat once and hand the answer to all its rows.
 
-    Rows and answers meet on a SHA-256 of the chat, so the long texts are moved
-    once, combined before the shuffle. The answer side is as large as the
-    distinct prompts and a popular prompt may cover many rows: the lookup join
+    Rows and answers meet on a SHA-256 of the chat. The answer side is as large as
+    the distinct prompts and a popular prompt may cover many rows: the lookup join
     salts it.
     """
     keyed = prompts.withColumn("__key", F.sha2(F.to_json(messages), 256))
-    asked = keyed.groupBy("__key").agg(F.first(messages).alias(messages))
     # Stored, so that a model is asked once whatever reads the answers.
-    answered = materialize(score(asked, scorer_factory, ["__key"], messages), "answers")
+    answered = materialize(score(distinct_chats(keyed, messages), scorer_factory, ["__key"], messages), "answers")
     return lookup_join(keyed.select(*keep, "__key"), answered, ["__key"], "left", keep).drop("__key")
 
 
+def distinct_chats(keyed: DataFrame, messages: str = "messages") -> DataFrame:
+    """One row for each ``__key``. The long texts are sorted to be combined, so they
+    are dealt evenly first: a small file that few tasks read may render to many
+    gigabytes of chats. Copies are combined again before they meet by key."""
+    width = shuffle_width(keyed.sparkSession)
+    dealt = keyed.select("__key", messages).repartition(width, F.monotonically_increasing_id())
+    return dealt.groupBy("__key").agg(F.first(messages).alias(messages))
+
+
 def with_parsed_answer(df: DataFrame, c: AuditColumns = DEFAULT, output: str = "output") -> DataFrame:
     """Raw text, parsed number and status; a scoring error has its own status."""
     failed = F.col("error").isNotNull() if "error" in df.columns else F.lit(False)

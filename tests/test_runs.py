@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from auditspark.columns import DEFAULT as C
-from auditspark.functions.prompts import messages_to_text
+from auditspark.functions.prompts import chat, messages_to_text
 from auditspark.operators import filters, quality, scoring
 from auditspark.plans import analysis, compare, estimate, sample
 from auditspark.sources import ledger, readers, writers
@@ -269,3 +269,15 @@ def test_encoders_get_slices_of_long_conversations(spark):
     df = spark.range(60).coalesce(1).select(messages_to_text(turns).alias("text"))
     got = scoring.token_ids(df, "text", slice_lengths).select("token_ids").collect()
     assert len(got) == 60 and max(r["token_ids"][0] for r in got) <= scoring.SLICE_CHARS
+
+
+def test_texts_of_one_task_are_dealt_before_they_are_sorted(spark):
+    title = F.concat(F.lit("t"), F.col("id") % 7)
+    prompts = spark.range(0, 700, 1, 1).select("id", chat(F.lit("s"), title).alias("messages"))
+    asked = scoring.distinct_chats(prompts.withColumn("__key", F.sha2(F.to_json("messages"), 256)))
+    assert asked.count() == 7
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    first_sort = plan.rindex("Sort ")  # the deepest line is the last
+    assert "REPARTITION_BY_NUM" in plan[first_sort:]
+    out = scoring.score_distinct(prompts, scorer, ["id"]).collect()
+    assert len(out) == 700 and len({r["output"] for r in out}) == 7
