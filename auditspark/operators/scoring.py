@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -52,24 +54,36 @@ def ask(scorer: Scorer, chats: list[list[dict]]) -> list[tuple[str | None, str |
     return ask(scorer, chats[:middle]) + ask(scorer, chats[middle:])
 
 
-def rebatched(batches: Iterator[pd.DataFrame], size: int | None) -> Iterator[pd.DataFrame]:
+def rebatched(batches: Iterator[pa.RecordBatch], size: int | None) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of ``size`` (the last may be smaller), whatever the
     session's own batches are."""
     held, n = [], 0
-    for pdf in batches:
+    for batch in batches:
         if not size:
-            yield pdf
+            yield batch
             continue
-        held.append(pdf)
-        n += len(pdf)
+        held.append(batch)
+        n += batch.num_rows
         if n >= size:
-            whole = pd.concat(held, ignore_index=True)
+            whole = pa.concat_batches(held)
             cut = n - n % size
             for a in range(0, cut, size):
-                yield whole[a : a + size]
-            held, n = [whole[cut:]], n - cut
+                yield whole.slice(a, size)
+            held, n = [whole.slice(cut)], n - cut
     if n:
-        yield pd.concat(held, ignore_index=True)
+        yield pa.concat_batches(held)
+
+
+def chats_of(column: pa.Array) -> list[list[dict]]:
+    """The chats of a column of message lists, its fields read as whole columns."""
+    flat = column.flatten()
+    if column.null_count or flat.null_count or not pa.types.is_struct(flat.type):
+        return [[dict(m) for m in ms] for ms in column.to_pylist()]
+    names = [f.name for f in flat.type]
+    fields = [flat.field(i).to_pylist() for i in range(len(names))]
+    messages = [dict(zip(names, values)) for values in zip(*fields)]
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+    return [messages[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def score(
@@ -92,16 +106,17 @@ def score(
         [*wanted, T.StructField(output, T.StringType()), T.StructField("error", T.StringType())]
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_factory()
-        for pdf in rebatched(batches, batch_rows):
-            pairs = ask(scorer, [[m if isinstance(m, dict) else m.asDict() for m in ms] for ms in pdf[messages]])
-            out = pdf[keep].copy()
-            out[output] = pd.Series([p[0] for p in pairs], index=out.index, dtype="object")
-            out["error"] = pd.Series([p[1] for p in pairs], index=out.index, dtype="object")
-            yield out
-
-    return prompts.select(*dict.fromkeys([*keep, messages])).mapInPandas(run, schema)
+        for batch in rebatched(batches, batch_rows):
+            pairs = ask(scorer, chats_of(batch.column(messages)))
+            answers = [pa.array([None if v is None else str(v) for v in column], pa.string()) for column in zip(*pairs)]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], *answers], names=names)
+
+    return prompts.select(*dict.fromkeys([*keep, messages])).mapInArrow(run, schema)
 
 
 def score_distinct(

@@ -12,7 +12,7 @@ from ..operators.scoring import (
     with_messages, with_parsed_answer, with_personas,
 )
 from ..sources.readers import distinct_titles
-from ..operators.ranking import running_counts
+from ..operators.ranking import row_places
 from ..session import scratch_path, shuffle_width
 from ..sources.ledger import append_chunk, new_run, read_committed
 from ..sources.writers import write_version
@@ -38,7 +38,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame | None:
 def planned(todo: DataFrame, keys: list[str], chunk_rows: int) -> tuple[DataFrame, int]:
     """The rows to score with their chunk, stored, and the number of chunks.  Chunks are
     ``chunk_rows`` rows in the order of the keys, the last one what is left."""
-    placed = running_counts(todo.withColumn("__count", F.lit(1)), [], keys).drop("__count", "__total")
+    placed = row_places(todo, keys)
     chunk = F.floor(F.col("__below") / chunk_rows).cast("long")
     stored = scratch_path(todo.sparkSession, "chunks")
     placed.withColumn("__chunk", chunk).drop("__below").write.partitionBy("__chunk").parquet(stored)

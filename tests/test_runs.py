@@ -6,13 +6,14 @@ import os
 import sys
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from auditspark.columns import DEFAULT as C
 from auditspark.functions.prompts import chat, messages_to_text
-from auditspark.operators import filters, quality, scoring
+from auditspark.operators import filters, quality, ranking, scoring
 from auditspark.plans import analysis, compare, estimate, sample
 from auditspark.sources import ledger, readers, writers
 from auditspark.streaming.incremental import stream_estimates
@@ -281,3 +282,24 @@ def test_texts_of_one_task_are_dealt_before_they_are_sorted(spark):
     assert "REPARTITION_BY_NUM" in plan[first_sort:]
     out = scoring.score_distinct(prompts, scorer, ["id"]).collect()
     assert len(out) == 700 and len({r["output"] for r in out}) == 7
+
+
+def test_chats_are_read_as_whole_columns(spark):
+    rows = [[], [("user", "a", None)], [("system", "b", 1), ("user", None, 2)]]
+    kind = pa.list_(pa.struct([("role", pa.string()), ("content", pa.string()), ("n", pa.int64())]))
+    column = pa.array([[dict(zip(("role", "content", "n"), m)) for m in ms] for ms in rows], kind)
+    want = [[dict(zip(("role", "content", "n"), m)) for m in ms] for ms in rows]
+    assert scoring.chats_of(column) == want and scoring.chats_of(column.slice(1, 2)) == want[1:]
+
+
+def test_chunks_are_planned_without_python(spark, observations, monkeypatch):
+    monkeypatch.setattr(ranking, "running_counts", None)
+    plans = []
+    keep = ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or keep(df, name))
+    rows = observations.withColumn("persona", F.lit("")).repartition(5)
+    plan, chunks = estimate.planned(rows, ["persona", C.row_id], 100)
+    got = [(r["__chunk"], r[C.row_id]) for r in plan.collect()]
+    ids = sorted(i for _, i in got)
+    assert chunks == 3 and sorted(got) == [(k // 100, i) for k, i in enumerate(ids)]
+    assert plans and not any("InArrow" in p or "InPandas" in p for p in plans)
