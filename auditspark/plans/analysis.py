@@ -15,7 +15,7 @@ from ..operators.stat_tests import (
     block_contrast_summary, confidence_correlation, model_block_summary, model_welch_table, row_welch_table,
 )
 from ..operators.summaries import block_contrasts, label_group_summary, model_block_contrasts, model_summary
-from ..session import materialize
+from ..session import materialize, together
 from ..sources.writers import ordered, write_table, write_tables
 
 
@@ -75,10 +75,23 @@ def analysis_tables(
     """
     coerced = materialize(coerce(merged, c), "coerced")
     long = ordered(analysis_rows(coerced, low, high, c, check), preferred_order(c))
-    rows = materialize(row_averages(long, c), "row_average")
-    blocks = materialize(block_contrasts(rows, c), "blocks")
-    model_blocks = materialize(model_block_contrasts(long, c), "model_blocks")
-    vectors = materialize(prediction_vector_qc(long, c), "vectors")
+
+    spark = merged.sparkSession
+
+    def averaged() -> tuple[DataFrame, DataFrame, DataFrame]:
+        rows = materialize(row_averages(long, c), "row_average")
+        return rows, *together(
+            spark, lambda: materialize(block_contrasts(rows, c), "blocks"), lambda: label_group_summary(rows, c)
+        )
+
+    # Several of these run jobs when they are called; none reads another's result.
+    (rows, blocks, label_groups), model_blocks, vectors, models = together(
+        spark,
+        averaged,
+        lambda: materialize(model_block_contrasts(long, c), "model_blocks"),
+        lambda: materialize(prediction_vector_qc(long, c), "vectors"),
+        lambda: model_summary(long, c),
+    )
     return {
         "model_row_salary_overestimation_long": long,
         "row_average_salary_overestimation": rows,
@@ -88,8 +101,8 @@ def analysis_tables(
         "per_model_welch_tests": model_welch_table(long, c),
         "per_model_block_level_contrasts": model_blocks,
         "per_model_block_contrast_summary": model_block_summary(model_blocks, c),
-        "model_salary_overestimation_summary": model_summary(long, c),
-        "ai_group_salary_overestimation_summary": label_group_summary(rows, c),
+        "model_salary_overestimation_summary": models,
+        "ai_group_salary_overestimation_summary": label_groups,
         "continuous_ai_confidence_summary": confidence_correlation(rows, c),
         "parse_status_summary": status_counts(coerced, c),
         "raw_model_output_qc": raw_output_qc(coerced, c),

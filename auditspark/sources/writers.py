@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+from ..session import together
 from .readers import CSV_OPTIONS
 
 
@@ -36,7 +37,11 @@ def write_table(df: DataFrame, path: str, formats: tuple[str, ...] = ("parquet",
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, formats: tuple[str, ...] = ("parquet",)) -> list[str]:
-    return [p for name, df in tables.items() for p in write_table(df, f"{folder}/{name}", formats)]
+    """Write each table below ``folder``, several at a time."""
+    if not tables:
+        return []
+    steps = [lambda name=name, df=df: write_table(df, f"{folder}/{name}", formats) for name, df in tables.items()]
+    return [p for written in together(next(iter(tables.values())).sparkSession, *steps) for p in written]
 
 
 def append_run(df: DataFrame, path: str, partition_by: list[str], run_id: str | None = None) -> str:

@@ -4,6 +4,7 @@ import glob
 import math
 import os
 import sys
+import threading
 import uuid
 
 import pyarrow as pa
@@ -303,3 +304,17 @@ def test_chunks_are_planned_without_python(spark, observations, monkeypatch):
     ids = sorted(i for _, i in got)
     assert chunks == 3 and sorted(got) == [(k // 100, i) for k, i in enumerate(ids)]
     assert plans and not any("InArrow" in p or "InPandas" in p for p in plans)
+
+
+def test_tables_are_written_side_by_side(spark, tmp_path, monkeypatch):
+    meet, keep = threading.Barrier(3, timeout=60), writers.write_table
+
+    def write(df, path, formats):
+        meet.wait()  # broken where one table waits for another
+        return keep(df, path, formats)
+
+    monkeypatch.setattr(writers, "write_table", write)
+    tables = {name: spark.range(n) for n, name in enumerate("abc")}
+    assert writers.write_tables(tables, str(tmp_path)) == [f"{tmp_path}/{n}.parquet" for n in "abc"]
+    assert [spark.read.parquet(f"{tmp_path}/{n}.parquet").count() for n in "abc"] == [0, 1, 2]
+    assert writers.write_tables({}, str(tmp_path)) == []
