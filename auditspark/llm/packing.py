@@ -24,7 +24,7 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -38,39 +38,69 @@ END_ID = 1
 #: Words whose ids a worker remembers (about 200 bytes each), and text split at a time.
 CACHE_WORDS = 1_200_000
 SLICE_BYTES = 1 << 20
-ENDINGS = {b",", b"."}
+#: A token of its own between blanks, and how many words go through the tokenizer at a time.
+MARK = "\0"
+JOINED_WORDS = 64
+#: Signs that end a word; a run of them after an ASCII letter or digit is split off by the tokenizer.
+ENDINGS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordIds(dict):
     """Ids of words between ASCII white space, as little-endian 32-bit numbers.
 
     The tokenizer drops white space and never merges across it, so a text's ids
-    are those of its words in order.  Unknown words are encoded in batches.
+    are those of its words in order.  Words of a-z alone pass its normalizers and its
+    split unchanged, so its BPE model takes them as they are; other unknown words go
+    through the whole tokenizer, joined by a mark whose token separates their ids.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.mark = self.ids_of(MARK)
         #: Their strings in a text are tokens of their own, as the tokenizer has it.
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+    def ids_of(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def joined(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, of one call; words that hold the mark are taken one by one."""
+        ids = np.frombuffer(self.ids_of(f" {MARK} ".join([w.decode() for w in words])), "<u4")
+        cuts = np.flatnonzero(ids == np.frombuffer(self.mark, "<u4")[0])
+        if len(self.mark) != 4 or len(cuts) != len(words) - 1:
+            return [self.ids_of(w.decode()) for w in words]
+        data, cuts = ids.tobytes(), (4 * cuts).tolist()
+        return [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)])]
+
     def learn(self, words: set[bytes]) -> None:
-        """Ids of new words, which are in ASCII lower case already.  A comma or
-        full stop after a letter or digit is a token of its own, so most words
-        with one need no encoding of their own."""
-        new = words - self.keys()
+        """Ids of new words, which are in ASCII lower case already.  A run of signs
+        after a letter or digit is a token run of its own, so most words with one
+        need no encoding of their own."""
+        new = set(filterfalse(self.__contains__, words))  # a difference would pass through all known words
         if len(self) + len(new) > CACHE_WORDS:
             self.clear()
             new = words
-        tailed = {w for w in new if w[-1:] in ENDINGS and w[-2:-1].isalnum()}
-        bare = ({w[:-1] for w in tailed} | ENDINGS | (new - tailed)) - self.keys() if new else ()
-        if bare:
-            bare = list(bare)
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in bare], add_special_tokens=False)
-            self.update(zip(bare, [array("I", e.ids).tobytes() for e in found]))
-        for w in tailed:
-            self[w] = self[w[:-1]] + self[w[-1:]]
+        tailed = {}
+        for w in new:
+            if w[-1] in ENDINGS and (base := w.rstrip(ENDINGS))[-1:].isalnum():
+                tailed[w] = base
+        tails = {w[len(base) :] for w, base in tailed.items()}
+        tokenize, rest = self.model.tokenize, []
+        for w in {*tailed.values()} | tails | (new - tailed.keys()):
+            if w in self:
+                continue
+            if w.isalpha():
+                self[w] = array("I", [t.id for t in tokenize(w.decode())]).tobytes()
+            else:
+                rest.append(w)
+        for a in range(0, len(rest), JOINED_WORDS):
+            some = rest[a : a + JOINED_WORDS]
+            self.update(zip(some, self.joined(some)))
+        for w, base in tailed.items():
+            self[w] = self[base] + self[w[len(base) :]]
 
     def encode_all(self, texts: list[bytes]) -> Iterator[bytes]:
         """Slices of about a megabyte, so that few words exist at a time."""
@@ -84,7 +114,7 @@ class WordIds(dict):
         self.learn(set(chain.from_iterable(split)))
         ids = [b"".join(map(self.__getitem__, words)) for words in split]
         for k in whole:
-            ids[k] = array("I", self.tokenizer.encode(texts[k].decode(), add_special_tokens=False).ids).tobytes()
+            ids[k] = self.ids_of(texts[k].decode())
         return ids
 
 

@@ -33,6 +33,19 @@ def test_special_tokens_are_those_of_the_tokenizer(tokenizer):
     assert np.frombuffer(wanted[0], "<u4").tolist() == [320, 49407, 321]
 
 
+def test_new_words_are_encoded_by_the_model_or_joined(tokenizer, monkeypatch):
+    odd = "it's don't word'. a''s 1.5 x***y &&& 'tis, 'LL 're. \0 a\0b \0\1 é, été*** É'S \u0301a a\u0301. İ, ﬁ! ½; 日本, c++ <b>, _a_ a\u00a0b"
+    texts = [odd, *(f"{w}ing*** {w}ly, {w}s!! {w}" for w in ("gro", "sta", "fli", "zzxq"))]
+    wanted = [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    words, calls = packing.WordIds(PATH), []
+    keep = words.ids_of
+    monkeypatch.setattr(words, "ids_of", lambda text: calls.append(text) or keep(text))
+    assert list(words.encode_all([t.encode() for t in texts])) == wanted
+    # Words of letters never meet the whole tokenizer; the others share a call, but for those with the mark.
+    assert not any("gro" in c or "zzxq" in c for c in calls) and len(calls) < 40
+    assert words.joined([b"x1", b"y-z"]) == [keep("x1"), keep("y-z")]
+
+
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 4), max_size=8), st.integers(0, 60))
 @settings(max_examples=200, deadline=None)
 def test_fill_finds_the_closest_sum(counts, space):
