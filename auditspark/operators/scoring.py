@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -211,29 +212,29 @@ def simple_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"([{word}]+|[^\s{word}])"), 1)
 
 
-def text_slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[list[str]]:
-    """Neighbouring texts of at most ``most`` characters together, or one longer text."""
-    held, size = [], 0
-    for text in texts:
-        if held and size + len(text) > most:
-            yield held
-            held, size = [], 0
-        held.append(text)
-        size += len(text)
-    if held:
-        yield held
+def text_slices(texts: pa.Array, most: int = SLICE_CHARS) -> Iterator[list[str]]:
+    """Neighbouring texts (null: empty) of at most ``most`` characters together, or one
+    longer text.  Only the texts of one slice are made into Python strings."""
+    start, size = 0, 0
+    for at, chars in enumerate(pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False).tolist()):
+        if at > start and size + chars > most:
+            yield [t or "" for t in texts.slice(start, at - start).to_pylist()]
+            start, size = at, 0
+        size += chars
+    if len(texts) > start:
+        yield [t or "" for t in texts.slice(start).to_pylist()]
 
 
 def token_ids(df: DataFrame, text: str, encoder_factory: Callable[[], Callable[[list[str]], list[list[int]]]]) -> DataFrame:
     """Add ``token_ids`` from a plug-in encoder built once per task.  It gets slices of a
-    batch, so the ids of few texts exist at a time whatever the session's batches are."""
+    batch, so the strings and ids of few texts exist at a time whatever the session's batches are."""
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = encoder_factory()
         for texts in batches:
-            for some in text_slices(texts.fillna("").tolist()):
-                yield pd.Series(encoder(some), dtype="object")
+            for some in text_slices(texts):
+                yield pa.array(encoder(some), pa.list_(pa.int64()))
 
     return df.withColumn("token_ids", encode(F.col(text)))
 

@@ -5,6 +5,7 @@ import math
 import os
 import sys
 import threading
+import tracemalloc
 import uuid
 
 import pyarrow as pa
@@ -273,6 +274,24 @@ def test_encoders_get_slices_of_long_conversations(spark):
     assert len(got) == 60 and max(r["token_ids"][0] for r in got) <= scoring.SLICE_CHARS
 
 
+def test_strings_of_one_slice_exist_at_a_time():
+    """20 million characters in one batch, of which a slice at a time is made into strings."""
+    texts = pa.array([None if k % 7 == 0 else "é" * 5_000 for k in range(4_000)], pa.string())
+    tracemalloc.start()
+    try:
+        sizes = [(len(some), sum(map(len, some))) for some in scoring.text_slices(texts)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(n for n, _ in sizes) == 4_000 and sum(c for _, c in sizes) == len(texts.drop_null()) * 5_000
+    assert max(c for _, c in sizes) <= scoring.SLICE_CHARS and peak < 4 << 20
+
+
+def test_no_texts_give_no_slices():
+    assert list(scoring.text_slices(pa.array([], pa.string()))) == []
+    assert list(scoring.text_slices(pa.array([None, ""], pa.string()))) == [["", ""]]
+
+
 def test_texts_of_one_task_are_dealt_before_they_are_sorted(spark):
     title = F.concat(F.lit("t"), F.col("id") % 7)
     prompts = spark.range(0, 700, 1, 1).select("id", chat(F.lit("s"), title).alias("messages"))
