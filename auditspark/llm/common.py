@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Hashable, Iterator
@@ -37,8 +38,7 @@ def per_process(key: Hashable, make: Callable[[], object], large: bool = False)
     key = ("large" if large else "small", key)
     if key not in values:
         if large:
-            for other in [k for k in values if k[0] == "large"]:
-                del values[other]
+            release()
         values[key] = make()
     return values[key]
 
@@ -61,6 +61,16 @@ def release() -> None:
     values = holder.__dict__.get("values", {}) if holder else {}
     for key in [k for k in values if k[0] == "large"]:
         del values[key]
+    give_back()
+
+
+def give_back() -> None:
+    """Return this process's freed memory to the system.  Workers live on from task to
+    task, and Arrow's pool and the C library keep what the largest batch needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def empty_if_null(column: str) -> Column:

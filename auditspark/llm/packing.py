@@ -28,15 +28,16 @@ from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import empty_if_null, per_process, slices, store
+from .common import empty_if_null, give_back, per_process, slices, store
 
 WINDOW = 2048
 END_ID = 1
 #: Words whose ids a worker remembers (about 200 bytes each), and text split at a time.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 600_000
 SLICE_BYTES = 1 << 20
 #: A token of its own between blanks, and how many words go through the tokenizer at a time.
 MARK = "\0"
@@ -52,6 +53,9 @@ class WordIds(dict):
     are those of its words in order.  Words of a-z alone pass its normalizers and its
     split unchanged, so its BPE model takes them as they are; other unknown words go
     through the whole tokenizer, joined by a mark whose token separates their ids.
+
+    Words come in two halves: when the newer one is full it becomes the older one, of
+    which only words that come again are kept.
     """
 
     def __init__(self, path: str):
@@ -60,6 +64,9 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.mark = self.ids_of(MARK)
+        self.older: dict[bytes, bytes] = {}
+        #: Words with signs after them, of the last slice alone.
+        self.tailed: dict[bytes, bytes] = {}
         #: Their strings in a text are tokens of their own, as the tokenizer has it.
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -80,18 +87,20 @@ class WordIds(dict):
         after a letter or digit is a token run of its own, so most words with one
         need no encoding of their own."""
         new = set(filterfalse(self.__contains__, words))  # a difference would pass through all known words
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = words
         tailed = {}
         for w in new:
             if w[-1] in ENDINGS and (base := w.rstrip(ENDINGS))[-1:].isalnum():
                 tailed[w] = base
         tails = {w[len(base) :] for w, base in tailed.items()}
+        unknown = set(filterfalse(self.__contains__, new.difference(tailed).union(tailed.values(), tails)))
+        if len(self) + len(unknown) > CACHE_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+            unknown = words.difference(tailed).union(tailed.values(), tails)
+        again = {w: self.older[w] for w in filter(self.older.__contains__, unknown)}
+        self.update(again)
         tokenize, rest = self.model.tokenize, []
-        for w in {*tailed.values()} | tails | (new - tailed.keys()):
-            if w in self:
-                continue
+        for w in unknown.difference(again):
             if w.isalpha():
                 self[w] = array("I", [t.id for t in tokenize(w.decode())]).tobytes()
             else:
@@ -99,13 +108,17 @@ class WordIds(dict):
         for a in range(0, len(rest), JOINED_WORDS):
             some = rest[a : a + JOINED_WORDS]
             self.update(zip(some, self.joined(some)))
-        for w, base in tailed.items():
-            self[w] = self[base] + self[w[len(base) :]]
+        self.tailed = {w: self[base] + self[w[len(base) :]] for w, base in tailed.items()}
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.tailed[word]
 
-    def encode_all(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Slices of about a megabyte, so that few words exist at a time."""
-        for a, b in slices([len(t) for t in texts], SLICE_BYTES):
-            yield from self.encode(texts[a:b])
+    def encode_all(self, texts: list[bytes] | pa.BinaryArray) -> Iterator[bytes]:
+        """Slices of about a megabyte, so that few texts and words exist at a time."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.binary())
+        for a, b in slices(pc.binary_length(texts).to_pylist(), SLICE_BYTES):
+            yield from self.encode(texts[a:b].to_pylist())
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         lowered = [t.lower() for t in texts]
@@ -129,9 +142,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, wind
         end = np.asarray([end_id], "<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
+            give_back()
             out: list[list] = [[] for _ in range(7)]
-            texts = [t.as_buffer().to_pybytes() for t in batch.column(1)]
-            for doc, ids in zip(batch.column(0).to_pylist(), words.encode_all(texts)):
+            for doc, ids in zip(batch.column(0).to_pylist(), words.encode_all(batch.column(1))):
                 ids += end
                 total = len(ids) // 4
                 for start in range(0, total, window):

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .chunks import NO_ID, based, chunked, lookup, pack, pack_sorted, unpack, unpack_sorted
@@ -67,9 +68,9 @@ def census(rows: DataFrame, width: int) -> np.ndarray:
         release()
         total = np.zeros((len(prefixes) + 1, 1 << CELL_BITS), np.int64)
         for batch in batches:
-            texts = [t.as_buffer().to_pybytes() for t in batch.column(0)]
-            for a, b in slices([len(t) for t in texts], CENSUS_BYTES):
-                s = Suffixes(texts[a:b], width)
+            texts = batch.column(0)
+            for a, b in slices(pc.binary_length(texts).to_pylist(), CENSUS_BYTES):
+                s = Suffixes(texts[a:b].to_pylist(), width)
                 for level, p in enumerate(prefixes):
                     total[level] += np.bincount(s.cells(p), minlength=1 << CELL_BITS)
                 total[-1, 0] += len(s.at)
@@ -98,7 +99,7 @@ def groups_of(total: np.ndarray, limit: int) -> tuple[np.ndarray, int]:
 def entries(s: Suffixes, width: int, group: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Group, 64-bit key and 16-bit check of every suffix; keys begin with the cell."""
     number = window_numbers(s.words, width)[s.at]
-    check = window_numbers(s.words, width, 1)[s.at] >> np.uint64(48)
+    check = (window_numbers(s.words, width, 1)[s.at] >> np.uint64(48)).astype("<u2")
     owner = np.full(len(number), -1, np.int64)
     cell = number >> np.uint64(64 - CELL_BITS)
     for level, p in enumerate([p for p in PREFIXES if p < width]):
@@ -118,7 +119,9 @@ def distinct_of(docs: list[int], texts: list[bytes], width: int, group: np.ndarr
     s = Suffixes(texts, width)
     owner, key, check = entries(s, width, group, bits)
     order = np.lexsort((key, owner))
-    owner, key, check = owner[order], key[order], check[order]
+    owner = owner[order]  # one by one: each old column goes before the next is copied
+    key = key[order]
+    check = check[order]
     first = np.ones(len(order), bool)
     first[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1]) | (check[1:] != check[:-1])
     ids = np.asarray(docs, np.int64)[s.doc[order]]
@@ -135,6 +138,7 @@ def repeats(rows: DataFrame, width: int, group: np.ndarray, bits: int) -> DataFr
     names = ["grp", "chunk", "keys", "checks", "base", "docs"]
 
     def packs(chunk: int, docs: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        release()
         docs, texts, _ = _sorted_docs(docs, texts)
         _, _, owner, key, check, first, ids = distinct_of(docs, texts, width, group, bits)
         owner, key, check, ids = owner[first], key[first], check[first], ids[first]
@@ -160,6 +164,7 @@ def repeats(rows: DataFrame, width: int, group: np.ndarray, bits: int) -> DataFr
             yield from packs(chunk, docs, texts)
 
     def subtree(pdf: pd.DataFrame) -> pd.DataFrame:
+        release()
         key = np.concatenate([unpack_sorted(b) for b in pdf["keys"]])
         check = np.concatenate([np.frombuffer(b, "<u2") for b in pdf["checks"]])
         doc = np.concatenate([unpack(b).astype(np.int64) + low for b, low in zip(pdf["docs"], pdf["base"])])
@@ -194,7 +199,8 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
 
 def marked_words(docs, texts, told: pa.Table, width: int, group: np.ndarray, bits: int):
     """Suffixes object and a mask of the words to remove, documents in id order."""
-    s, order, _, key, check, first, ids = distinct_of(docs, texts, width, group, bits)
+    s, order, owner, key, check, first, ids = distinct_of(docs, texts, width, group, bits)
+    del owner
     run = np.cumsum(first) - 1
     least = ids[first][run] if len(ids) else ids
     if told.num_rows and len(ids):

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import empty_if_null, per_process
+from .common import empty_if_null, give_back, per_process
 
 #: Labelled documents that the model is fitted on, at most (in expectation).
 FIT_DOCS = 20_000
@@ -114,6 +114,7 @@ def measured(rows: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gains = per_process(("toxicity", model.key), lambda: Gains(model), large=True)
         for batch in batches:
+            give_back()
             found = [
                 features(list(map(gains.__getitem__, t.as_buffer().to_pybytes().lower().split())))
                 for t in batch.column("t")

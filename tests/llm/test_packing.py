@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -117,3 +118,30 @@ def test_pieces_and_sequences(docs, tokenizer):
 
 def test_empty_table(docs):
     assert packing.pack(docs([]), PATH).collect() == []
+
+
+def test_words_that_come_again_stay_known_and_the_cache_is_bounded(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 400)
+    words, encoded = packing.WordIds(PATH), []
+    texts = [" ".join(["often", "often,", *(f"x{k}y{n}" for k in range(100)), *(f"word{'abcdefghij'[n % 10]}!" for k in range(3))]) for n in range(12)]
+    wanted = [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    joined = words.joined
+    monkeypatch.setattr(words, "joined", lambda some: encoded.extend(some) or joined(some))
+    for text, ids in zip(texts, wanted):
+        assert words.encode([text.encode()]) == [ids]
+        assert len(words) + len(words.older) <= 400
+        # Words with signs after them are not remembered: their parts are.
+        assert b"often" in words and b"often," not in words and b"often," not in words.older
+    assert encoded.count(b",") == 1
+
+
+def test_texts_are_taken_from_the_batch_slice_by_slice(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_BYTES", 100)
+    words, most = packing.WordIds(PATH), []
+    texts = [f"text {k} " * (k % 7) for k in range(60)]
+    wanted = [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    encode = words.encode
+    monkeypatch.setattr(words, "encode", lambda some: most.append(sum(map(len, some))) or encode(some))
+    column = pa.array([t.encode() for t in ["before", *texts]], pa.binary())[1:]
+    assert list(words.encode_all(column)) == wanted
+    assert max(most) <= 100
