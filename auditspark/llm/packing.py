@@ -36,8 +36,8 @@ from .common import empty_if_null, give_back, per_process, slices, store
 
 WINDOW = 2048
 END_ID = 1
-#: Words whose ids a worker remembers (about 200 bytes each), and text split at a time.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker remembers (about 130 bytes each), and text split at a time.
+CACHE_WORDS = 800_000
 SLICE_BYTES = 1 << 20
 #: A token of its own between blanks, and how many words go through the tokenizer at a time.
 MARK = "\0"
@@ -65,8 +65,6 @@ class WordIds(dict):
         self.model = self.tokenizer.model
         self.mark = self.ids_of(MARK)
         self.older: dict[bytes, bytes] = {}
-        #: Words with signs after them, of the last slice alone.
-        self.tailed: dict[bytes, bytes] = {}
         #: Their strings in a text are tokens of their own, as the tokenizer has it.
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -87,31 +85,33 @@ class WordIds(dict):
         after a letter or digit is a token run of its own, so most words with one
         need no encoding of their own."""
         new = set(filterfalse(self.__contains__, words))  # a difference would pass through all known words
+        if len(self) + len(new) > CACHE_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+            new = words
+        again = {w: self.older.pop(w) for w in filter(self.older.__contains__, new)}
+        self.update(again)
+        new = new.difference(again)
         tailed = {}
         for w in new:
             if w[-1] in ENDINGS and (base := w.rstrip(ENDINGS))[-1:].isalnum():
                 tailed[w] = base
         tails = {w[len(base) :] for w, base in tailed.items()}
-        unknown = set(filterfalse(self.__contains__, new.difference(tailed).union(tailed.values(), tails)))
-        if len(self) + len(unknown) > CACHE_WORDS // 2:
-            self.older = dict(self)
-            self.clear()
-            unknown = words.difference(tailed).union(tailed.values(), tails)
-        again = {w: self.older[w] for w in filter(self.older.__contains__, unknown)}
-        self.update(again)
         tokenize, rest = self.model.tokenize, []
-        for w in unknown.difference(again):
-            if w.isalpha():
+        for w in {*tailed.values()} | tails | (new - tailed.keys()):
+            if w in self:
+                continue
+            if w in self.older:
+                self[w] = self.older.pop(w)
+            elif w.isalpha():
                 self[w] = array("I", [t.id for t in tokenize(w.decode())]).tobytes()
             else:
                 rest.append(w)
         for a in range(0, len(rest), JOINED_WORDS):
             some = rest[a : a + JOINED_WORDS]
             self.update(zip(some, self.joined(some)))
-        self.tailed = {w: self[base] + self[w[len(base) :]] for w, base in tailed.items()}
-
-    def __missing__(self, word: bytes) -> bytes:
-        return self.tailed[word]
+        for w, base in tailed.items():
+            self[w] = self[base] + self[w[len(base) :]]
 
     def encode_all(self, texts: list[bytes] | pa.BinaryArray) -> Iterator[bytes]:
         """Slices of about a megabyte, so that few texts and words exist at a time."""
