@@ -36,8 +36,8 @@ from .common import empty_if_null, give_back, per_process, slices, store
 
 WINDOW = 2048
 END_ID = 1
-#: Words whose ids a worker remembers (about 130 bytes each), and text split at a time.
-CACHE_WORDS = 800_000
+#: Words whose ids a worker remembers (about 200 bytes each), and text split at a time.
+CACHE_WORDS = 1_200_000
 SLICE_BYTES = 1 << 20
 #: A token of its own between blanks, and how many words go through the tokenizer at a time.
 MARK = "\0"
@@ -53,9 +53,6 @@ class WordIds(dict):
     are those of its words in order.  Words of a-z alone pass its normalizers and its
     split unchanged, so its BPE model takes them as they are; other unknown words go
     through the whole tokenizer, joined by a mark whose token separates their ids.
-
-    Words come in two halves: when the newer one is full it becomes the older one, of
-    which only words that come again are kept.
     """
 
     def __init__(self, path: str):
@@ -64,7 +61,6 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.mark = self.ids_of(MARK)
-        self.older: dict[bytes, bytes] = {}
         #: Their strings in a text are tokens of their own, as the tokenizer has it.
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -85,13 +81,9 @@ class WordIds(dict):
         after a letter or digit is a token run of its own, so most words with one
         need no encoding of their own."""
         new = set(filterfalse(self.__contains__, words))  # a difference would pass through all known words
-        if len(self) + len(new) > CACHE_WORDS // 2:
-            self.older = dict(self)
+        if len(self) + len(new) > CACHE_WORDS:
             self.clear()
             new = words
-        again = {w: self.older.pop(w) for w in filter(self.older.__contains__, new)}
-        self.update(again)
-        new = new.difference(again)
         tailed = {}
         for w in new:
             if w[-1] in ENDINGS and (base := w.rstrip(ENDINGS))[-1:].isalnum():
@@ -101,9 +93,7 @@ class WordIds(dict):
         for w in {*tailed.values()} | tails | (new - tailed.keys()):
             if w in self:
                 continue
-            if w in self.older:
-                self[w] = self.older.pop(w)
-            elif w.isalpha():
+            if w.isalpha():
                 self[w] = array("I", [t.id for t in tokenize(w.decode())]).tobytes()
             else:
                 rest.append(w)
